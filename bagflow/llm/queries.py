@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bagflow.llm import warc
+from bagflow.llm.quality import op10_quality
 from bagflow.llm.sharding import op5_sharding
+from bagflow.llm.urls import op9_urls
 
-QUERIES = {"op5_sharding": op5_sharding}
+QUERIES = {"op4_warc": warc.op4_warc, "op5_sharding": op5_sharding, "op9_urls": op9_urls, "op10_quality": op10_quality}
 
 #: DuckDB SQL; the other queries can't be said in SQL and are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE}
