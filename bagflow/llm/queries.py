@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from bagflow.llm import warc
-from bagflow.llm.quality import op10_quality
-from bagflow.llm.sharding import op5_sharding
-from bagflow.llm.urls import op9_urls
+from bagflow.llm import bpe, html, lm, quality, sharding, urls, warc
 
-QUERIES = {"op4_warc": warc.op4_warc, "op5_sharding": op5_sharding, "op9_urls": op9_urls, "op10_quality": op10_quality}
+QUERIES = {
+    "op1_html": html.op1_html,
+    "op4_warc": warc.op4_warc,
+    "op5_sharding": sharding.op5_sharding,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_lm": lm.op8_lm,
+    "op9_urls": urls.op9_urls,
+    "op10_quality": quality.op10_quality,
+}
 
 #: DuckDB SQL; the other queries can't be said in SQL and are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE}
