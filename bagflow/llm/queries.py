@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from bagflow.llm import bpe, html, lm, quality, sharding, urls, warc
+from bagflow.llm import bpe, dedup, html, lm, quality, sharding, urls, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
+    "op2_minhash": dedup.op2_minhash,
     "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
     "op7_bpe": bpe.op7_bpe,
@@ -15,4 +16,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL; the other queries can't be said in SQL and are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op2_minhash": dedup.ORACLE, "op4_warc": warc.ORACLE}
