@@ -28,12 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with small Arrow batches, shuffle files that go when their action ends, and a folder for checkpoints.
+    """The session with small Arrow batches and a folder for checkpoints.
 
     The folder is the cluster's (spark.checkpoint.dir); only where the session has none, as in tests, one is made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     shared_dir(spark)
     return spark
 
