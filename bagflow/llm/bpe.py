@@ -22,7 +22,7 @@ from bagflow.llm.common import own, prepared, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encoded pieces a Python worker remembers; beyond that it begins anew, which costs time and changes nothing.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _NONE = 1 << 60
 
@@ -41,6 +41,13 @@ class Vocabulary:
             if len(token) == 2:
                 self.pairs[token[0], token[1]] = rank
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        #: (id of the left part << 32 | id of the right part) to the rank of the two together, for all splits of all tokens
+        self.joined: dict[int, int] = {}
+        find = self.ranks.get
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                if (left := find(token[:cut])) is not None and (right := find(token[cut:])) is not None:
+                    self.joined[left << 32 | right] = rank
         self.known: dict[str, bytes] = {}
 
 
@@ -92,7 +99,7 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
         if end < size:
             before[end] = -1
     ids = vocab.single[flat].tolist()
-    tokens, alive = vocab.tokens, bytearray(b"\1") * size
+    rank_of = vocab.joined.get
     places = np.flatnonzero(first < _NONE)
     places = places[np.argsort(first[places], kind="stable")]
     values, cuts = np.unique(first[places], return_index=True)
@@ -102,43 +109,45 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
     again: set[int] = set()
     while queue:
         now = heappop(queue)
-        for i in sorted(index.pop(now)):
-            if rank[i] != now or not alive[i]:
+        at = index.pop(now)
+        at.sort()
+        for i in at:
+            if rank[i] != now:  # stale: one of the two has been merged with another
                 continue
             j = after[i]
-            k = after[j]
+            k = after[i] = after[j]
             ids[i] = now
-            alive[j] = 0
-            after[i] = k
-            made = tokens[now]
+            ids[j] = -1
+            rank[j] = rank[i] = _NONE
             if k >= 0:
                 before[k] = i
-                new = ranks.get(made + tokens[ids[k]], _NONE)
-                rank[i] = new
-                if new < _NONE:
+                new = rank_of(now << 32 | ids[k])
+                if new is not None:
+                    rank[i] = new
                     if new <= now:
                         again.add(piece_of[i])
-                    if (at := index.get(new)) is None:
+                    if new in index:
+                        index[new].append(i)
+                    else:
                         index[new] = [i]
                         heappush(queue, new)
-                    else:
-                        at.append(i)
-            else:
-                rank[i] = _NONE
             h = before[i]
             if h >= 0:
-                new = ranks.get(tokens[ids[h]] + made, _NONE)
-                rank[h] = new
-                if new < _NONE:
+                new = rank_of(ids[h] << 32 | now)
+                if new is None:
+                    rank[h] = _NONE
+                else:
+                    rank[h] = new
                     if new <= now:
-                        again.add(piece_of[i])
-                    if (at := index.get(new)) is None:
+                        again.add(piece_of[h])
+                    if new in index:
+                        index[new].append(h)
+                    else:
                         index[new] = [h]
                         heappush(queue, new)
-                    else:
-                        at.append(h)
-    live = np.frombuffer(alive, np.uint8).astype(bool)
-    packed = np.array(ids, "<u4")[live].tobytes()
+    last = np.array(ids, np.int64)
+    live = last >= 0
+    packed = last[live].astype("<u4").tobytes()
     upto = np.cumsum(live)[ends - 1] * 4
     begin = 0
     for n, end in zip(rest, upto.tolist(), strict=True):
@@ -152,10 +161,11 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
 def encode_batch(texts: Iterable[str | None], vocab: Vocabulary, pattern: regex.Pattern) -> list[bytes]:
     split = [pattern.findall(text) if text else [] for text in texts]
     known = vocab.known
-    new = list({piece for pieces in split for piece in pieces if piece not in known})
+    distinct = set().union(*split)
+    new = list(distinct - known.keys())
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list({piece for pieces in split for piece in pieces})
+        new = list(distinct)
     known.update(zip(new, replay([piece.encode() for piece in new], vocab), strict=True))
     return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
@@ -184,6 +194,12 @@ def _decoder(name: str) -> Callable:
     return decode
 
 
+def _both(name: str, pattern: str) -> Callable:
+    """Encoder and decoder in one Python worker: ids go from one to the other without leaving it."""
+    encode, decode = _encoder(name, pattern), _decoder(name)
+    return lambda batches: decode(encode(batches))
+
+
 def encoded(docs: DataFrame, text: str = "text", name: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """row_key, the struct of all columns but the text, and ids: the tokens as little-endian unsigned 32-bit numbers.
 
@@ -203,9 +219,12 @@ def decoded(frame: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    got = decoded(encoded(own(docs, doc_id=key, text=text), name=name), name)
+    prepared(docs.sparkSession)
+    frame = own(docs, row_key=key, text=text)
+    kind = frame.schema["row_key"].dataType.simpleString()
+    got = frame.mapInArrow(_both(name, public_tokenizers.PATTERN), f"row_key {kind}, ids binary, decoded binary")
     return got.select(
-        F.col("row_key.doc_id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.col("row_key").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
