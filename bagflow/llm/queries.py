@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bagflow.llm import bpe, dedup, html, lm, quality, sharding, urls, warc
+from bagflow.llm import bpe, decontaminate, dedup, html, lm, quality, sharding, urls, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_minhash": dedup.op2_minhash,
     "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
     "op8_lm": lm.op8_lm,
     "op9_urls": urls.op9_urls,
