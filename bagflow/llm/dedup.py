@@ -7,6 +7,7 @@ other hubs, round after round, until rounds find no more links."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagflow.llm.common import chunked, own, prepared, shared_dir, table, utf8
-from bagflow.llm.minhash import TINY, bands, set_key, shingle_sets, signatures
+from bagflow.llm.minhash import BANDS, BINS, TINY, bands, set_key, shingle_sets, short, signatures
 
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -25,7 +26,11 @@ ROUNDS = 3
 #: Leaves that are compared with one copy of their hub's text; a hub with more has more copies.
 LEAVES = 256
 
-SKETCH = "doc_id bigint, text_code bigint, n_shingles bigint, node binary, bands array<bigint>"
+#: Pairs whose signatures agree in less than this share of bins aren't compared further; at the threshold the share's standard
+#: error is 0.03, so this stands almost five of them below.
+AGREEMENT = 0.70
+
+SKETCH = "doc_id bigint, text_code bigint, n_shingles bigint, node binary, sig binary"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -33,7 +38,12 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # what was shuffled for it is not wanted again: the driver's collection lets the cleaner remove it now, not in half an hour
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,15 +52,33 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, part, cuts in chunked(body, bounds):
             hashes, ends = shingle_sets(part, cuts)
             sizes = np.diff(ends)
-            coded = bands(signatures(hashes, ends)).view(np.int64)
+            coded = short(signatures(hashes, ends))
             nodes = [set_key(hashes[ends[k] : ends[k + 1]]) if sizes[k] else None for k in range(last - first)]
-            lists = [coded[k] if sizes[k] > TINY else None for k in range(last - first)]
+            sigs = [coded[k].tobytes() if sizes[k] > TINY else None for k in range(last - first)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["doc_id", "text_code", "n_shingles", "node", "bands"],
+                [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())],
+                ["doc_id", "text_code", "n_shingles", "node", "sig"],
             )
 
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    return utf8(column)[0].view(np.uint16).reshape(-1, BINS)
+
+
+def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = bands(rows_of(batch.column(2))).view(np.int64).reshape(-1)
+        take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(codes)], ["node", "doc_id", "band"])
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        share = (rows_of(batch.column(2)) == rows_of(batch.column(3))).mean(1)
+        keep = pa.array(share >= AGREEMENT)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["leaf", "hub"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted: a hub's text, then its leaves. Only the hub's set is held."""
     hub = hub_set = None
@@ -113,9 +141,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     base = own(docs, doc_id=F.col(key).cast("long"), text=text)
     coded = base.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_code"), "text")
     sketch = stored(coded.mapInArrow(_sketch, SKETCH))
-    classes = stored(sketch.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_code", "bands")).alias("x")).select("node", "x.*"))
+    classes = stored(sketch.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_code", "sig")).alias("x")).select("node", "x.*"))
 
-    members = classes.where("bands is not null").select("node", "doc_id", F.explode("bands").alias("band"))
+    signed = classes.where("sig is not null").select("node", "doc_id", "sig")
+    members = signed.mapInArrow(_band, "node binary, doc_id bigint, band bigint")
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     buckets = stored(members.join(shared, "band"))
     wanted = classes.join(buckets.select("node").distinct(), "node").select("node", F.col("doc_id").alias("id"), F.col("text_code").alias("code"))
@@ -132,7 +161,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         if tested is not None:
             pairs = pairs.join(tested, ["leaf", "hub"], "left_anti").join(tested.select(F.col("hub").alias("leaf"), F.col("leaf").alias("hub")), ["leaf", "hub"], "left_anti")
         pairs = stored(pairs)
-        found = stored(confirmed(pairs, bodies, percent))
+        sides = pairs.join(signed.select(F.col("node").alias("leaf"), F.col("sig").alias("leaf_sig")), "leaf").join(signed.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        close = stored(sides.select("leaf", "hub", "leaf_sig", "hub_sig").mapInArrow(_agree, "leaf binary, hub binary"))
+        found = stored(confirmed(close, bodies, percent))
         tested = pairs if tested is None else tested.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
         some = not found.isEmpty()

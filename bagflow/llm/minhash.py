@@ -90,12 +90,14 @@ def signatures(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each band, with the band's number in it."""
-    out = np.zeros((len(signature), BANDS), np.uint64)
-    for k in range(ROWS):
-        out = out * _MULTIPLIER + mix(signature[:, k::ROWS])
-    return mix(out + np.arange(BANDS, dtype=np.uint64))
+def short(signature: np.ndarray) -> np.ndarray:
+    """16 bits of each bin: what is stored of a signature."""
+    return (mix(signature) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def bands(stored: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each band of stored signatures: its ROWS bins, with the band's number mixed in."""
+    return mix(np.ascontiguousarray(stored).view(np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MULTIPLIER)
 
 
 def set_key(values: np.ndarray) -> bytes:
