@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ BUCKET_BYTES = 8 << 20
 BATCH = 3000
 
 _P = 0x9E3779B97F4A7C15
-_MAX = np.uint64(2**64 - 1)
 
 
 def gram_hashes(body: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch], through: Callable[[pa.RecordBat
     now = None
     for batch in batches:
         asks = batch.column(column).is_valid()
-        yield through(batch.filter(pa.compute.invert(asks)))
+        yield through(batch.filter(pc.invert(asks)))
         for row in batch.filter(asks).to_pylist():
             if row["bucket"] != now and held:
                 yield now, held
@@ -150,9 +150,16 @@ def by_bucket(batches: Iterator[pa.RecordBatch], through: Callable[[pa.RecordBat
         yield now, held
 
 
+def opened(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    """Rows of a text's code and packed 64-bit numbers to a row for each number."""
+    body, bounds = utf8(batch.column(name))
+    times = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds) // 8))
+    return pa.RecordBatch.from_arrays([batch.column("text_code").take(times), pa.array(body.view(np.int64))], ["text_code", name])
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_code, codes): the anchors of a text that stand in another text too."""
-    for got in by_bucket(batches, lambda b: b.select(["text_code", "codes"]), "subs"):
+    """(text_code, codes): the anchors of a text that stand in another text too, a row for each."""
+    for got in by_bucket(batches, lambda b: opened(b, "codes"), "subs"):
         if isinstance(got, pa.RecordBatch):
             yield got
             continue
@@ -165,11 +172,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(first, len(sub)))
         last = first + size - 1
         shared = np.repeat(text[first] != text[last], size)
-        yield _named(*blobs(text[shared], (np.int64(bucket) << 32) | sub[shared].astype(np.int64)), "codes")
+        yield _named(text[shared], (np.int64(bucket) << 32) | sub[shared].astype(np.int64), "codes")
 
 
-def _named(keys: np.ndarray, values: pa.Array, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys), values], ["text_code", name])
+def _named(texts: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(texts), pa.array(values)], ["text_code", name])
 
 
 # Step 2: contexts of shared anchors.
@@ -186,6 +193,11 @@ def settle(code: np.ndarray, ids: np.ndarray, body: np.ndarray, bounds: np.ndarr
     return head, ids > ids[head]
 
 
+def packed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans as single numbers."""
+    return begin.astype(np.int64) << 32 | end.astype(np.int64)
+
+
 def gathered(body: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of spans, end to end."""
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
@@ -202,7 +214,10 @@ def _contexts(buckets: int) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            codes = [np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in lists])) for lists in batch.column(3).to_pylist()]
+            lists = batch.column(3)
+            at = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)
+            codes = [np.sort(flat[at[k] : at[k + 1]]) for k in range(len(lists))]
             body, bounds = utf8(batch.column(2))
             parts = []
             for first, last, part, cuts in chunked(body, bounds):
@@ -222,7 +237,7 @@ def _contexts(buckets: int) -> Callable:
             code, row, start, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             cuts = np.concatenate([[0], np.cumsum(size)])
             _, later = settle(code, ids[row], text, cuts)
-            done, spans = blobs(names[row[later]], np.stack([start[later], start[later] + size[later]], 1).astype(np.int32))
+            done, spans = blobs(names[row[later]], packed(start[later], start[later] + size[later]))
             yield _context_rows(done % buckets, done, spans, None)
             ask = np.flatnonzero(~later)
             ask = ask[np.argsort(code[ask] >> 32, kind="stable")]
@@ -311,21 +326,19 @@ def bucket_spans(sub: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.n
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_code, spans): removals of a text as pairs of 32-bit numbers, of contexts sorted by bucket."""
-    for got in by_bucket(batches, lambda b: b.select(["text_code", "spans"]), "subs"):
+    """(text_code, spans): removals of a text, a row for each, of contexts sorted by bucket."""
+    for got in by_bucket(batches, lambda b: opened(b, "spans"), "subs"):
         if isinstance(got, pa.RecordBatch):
             yield got
             continue
         _, rows = got
         sub, ids, texts, start, size, body = (np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in (("subs", np.uint32), ("ids", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32), ("body", np.uint8)))
         context, begin, end = bucket_spans(sub, ids, start.astype(np.int64), size.astype(np.int64), body)
-        yield _named(*blobs(texts[context], np.stack([begin, end], 1).astype(np.int32)), "spans")
+        yield _named(texts[context], packed(begin, end), "spans")
 
 
 def removed(size: int, spans: np.ndarray) -> np.ndarray:
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, spans[:, 0], 1)
-    np.add.at(edge, spans[:, 1], -1)
+    edge = np.bincount(spans >> 32, minlength=size + 1) - np.bincount(spans & 0xFFFFFFFF, minlength=size + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -333,9 +346,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, bounds = utf8(batch.column(1))
         kept, gone, runs = [], [], []
-        for k, lists in enumerate(batch.column(2).to_pylist()):
+        lists = batch.column(2)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for k in range(batch.num_rows):
             text = body[bounds[k] : bounds[k + 1]]
-            mask = removed(len(text), np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in lists]))
+            mask = removed(len(text), flat[at[k] : at[k + 1]])
             kept.append(text[~mask].tobytes())
             gone.append(int(mask.sum()))
             runs.append(int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if len(mask) else 0)
@@ -352,14 +367,15 @@ def cut_texts(base: DataFrame, first: DataFrame, buckets: int | None = None) ->
         total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-total // BUCKET_BYTES))
     asked = base.select("text_code", "text").mapInArrow(_asking(buckets), ASKED)
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "text_code bigint, codes binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "text_code bigint, codes bigint")
     shared = stored(answers.groupBy("text_code").agg(F.collect_list("codes").alias("codes")))
     keyed = shared.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "codes")
     # an id beside the hash spreads the copies of one text
     met = base.join(keyed.hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "id", "text", "codes")
     sent = met.mapInArrow(_contexts(buckets), CONTEXTS)
-    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_remove, "text_code bigint, spans binary")
-    by_text = stored(spans.groupBy("text_code").agg(F.collect_list("spans").alias("spans")))
+    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_remove, "text_code bigint, spans bigint")
+    # in the same query as the contexts, so that the texts, dealt out for those, needn't be dealt out again
+    by_text = spans.groupBy("text_code").agg(F.collect_list("spans").alias("spans"))
     keyed = by_text.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "spans")
     met = base.join(keyed.hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "text", "spans")
     return met.mapInArrow(_cut, "text_code bigint, kept binary, n_removed bigint, n_spans bigint")
