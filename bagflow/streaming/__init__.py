@@ -1,0 +1,2 @@
+"""Empty on purpose: the library is for batches. The column forms of map, filter and concat_map are plain DataFrame operations and
+hold for a streaming frame as they are."""
