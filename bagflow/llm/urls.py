@@ -91,6 +91,7 @@ def features() -> dict[str, Column]:
         "parameters": F.when(F.instr(url, "?") > 0, F.least(1 + count(url, "&"), F.lit(15))).otherwise(0),
         "fragment": F.when(F.instr(url, "#") > 0, 1).otherwise(0),
         "first_letter": F.coalesce(F.ascii(F.substring("path", 2, 1)) % 64, F.lit(0)),
+        "second_letter": F.coalesce(F.ascii(F.substring_index(F.substring_index("path", "/", 3), "/", -1)) % 64, F.lit(0)),
         "suffix_rate": F.floor(F.col("suffix_rate") * 31),
         "path_rate": F.floor(F.col("path_rate") * 31),
     }
