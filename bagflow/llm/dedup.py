@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 from bagflow.llm.common import chunked, own, prepared, shared_dir, table, utf8
 from bagflow.llm.minhash import BANDS, BINS, TINY, bands, set_key, shingle_sets, short, signatures
 
-#: Linked if 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: Linked if 100 * intersection >= PERCENT * union; the query of operator 2 asks for 85.
+PERCENT = 80
 #: Rounds of other hubs at least; more follow while a round finds links.
 ROUNDS = 3
 #: Leaves that are compared with one copy of their hub's text; a hub with more has more copies.
 LEAVES = 256
 
-#: Pairs whose signatures agree in less than this share of bins aren't compared further; at the threshold the share's standard
-#: error is 0.03, so this stands almost five of them below.
-AGREEMENT = 0.70
+#: Pairs whose signatures agree in a share of bins that is so much under the threshold aren't compared further; the share's
+#: standard error there is 0.03, so this is more than four of them.
+SLACK = 0.15
 
 SKETCH = "doc_id bigint, text_code bigint, n_shingles bigint, node binary, sig binary"
 
@@ -72,11 +72,14 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(codes)], ["node", "doc_id", "band"])
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        share = (rows_of(batch.column(2)) == rows_of(batch.column(3))).mean(1)
-        keep = pa.array(share >= AGREEMENT)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["leaf", "hub"])
+def _agree(least: float) -> Callable:
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = (rows_of(batch.column(2)) == rows_of(batch.column(3))).mean(1)
+            keep = pa.array(share >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["leaf", "hub"])
+
+    return agree
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +144,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     base = own(docs, doc_id=F.col(key).cast("long"), text=text)
     coded = base.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_code"), "text")
     sketch = stored(coded.mapInArrow(_sketch, SKETCH))
-    classes = stored(sketch.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_code", "sig")).alias("x")).select("node", "x.*"))
+    # the class's row of the least id, null being the last
+    ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_code", "sig")
+    classes = stored(sketch.where("n_shingles > 0").groupBy("node").agg(F.min(ordered).alias("x")).select("node", "x.doc_id", "x.text_code", "x.sig"))
 
     signed = classes.where("sig is not null").select("node", "doc_id", "sig")
     members = signed.mapInArrow(_band, "node binary, doc_id bigint, band bigint")
@@ -162,7 +167,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             pairs = pairs.join(tested, ["leaf", "hub"], "left_anti").join(tested.select(F.col("hub").alias("leaf"), F.col("leaf").alias("hub")), ["leaf", "hub"], "left_anti")
         pairs = stored(pairs)
         sides = pairs.join(signed.select(F.col("node").alias("leaf"), F.col("sig").alias("leaf_sig")), "leaf").join(signed.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        close = stored(sides.select("leaf", "hub", "leaf_sig", "hub_sig").mapInArrow(_agree, "leaf binary, hub binary"))
+        close = stored(sides.select("leaf", "hub", "leaf_sig", "hub_sig").mapInArrow(_agree(percent / 100 - SLACK), "leaf binary, hub binary"))
         found = stored(confirmed(close, bodies, percent))
         tested = pairs if tested is None else tested.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
@@ -196,7 +201,7 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark, sf_dir):
-    return linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return linked(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Brute force over all pairs with a common shingle.
