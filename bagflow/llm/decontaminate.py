@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     no row.
 
     Narrow over the documents: nothing is shuffled, a document is searched whole where it is read, in passages that overlap
-    by half, so an item of any length lies whole in one of them. Null, empty and wordless texts and items match nothing;
+    by half, so an item of any length lies whole in one of them. Words are compared with A-Z lower-cased. Null, empty and wordless texts and items match nothing;
     repeated rows are searched one by one; empty tables give no rows."""
     prepared(docs.sparkSession)
     base = own(docs, row_key=F.col(key).cast("long"), text=text)
