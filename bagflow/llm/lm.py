@@ -99,7 +99,7 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones of the 255 binary decisions behind counts of the 256 bytes, in heap order from 1."""
     zeros, ones = np.zeros((len(counts), 256)), np.zeros((len(counts), 256))
     for level in range(8):
-        halves = counts.reshape(len(counts), 2 ** (level + 1), -1).sum(2)
+        halves = counts.reshape(len(counts), 2 ** (level + 1), 2 ** (7 - level)).sum(2)
         zeros[:, 2**level : 2 ** (level + 1)] = halves[:, 0::2]
         ones[:, 2**level : 2 ** (level + 1)] = halves[:, 1::2]
     return zeros, ones
