@@ -8,6 +8,7 @@ other hubs, round after round, until rounds find no more links."""
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,9 +40,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    # what was shuffled for it is not wanted again: the driver's collection lets the cleaner remove it now, not in half an hour
+    # what was shuffled for it is not wanted again: the driver's collection lets the cleaner remove it now, not in half an hour;
+    # it must come after the listeners have let go of the write
     del df
     gc.collect()
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
     return out
 
