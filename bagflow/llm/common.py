@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,42 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables written by stored() and not discarded, in order.
+scratch: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, which cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    scratch.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    # what was shuffled for it is not wanted again: the driver's collection lets the cleaner remove it now, not in half an hour;
+    # it must come after the listeners have let go of the write
+    del df
+    gc.collect()
+    time.sleep(0.2)
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def removed_from(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables by the session's own file systems."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in scratch:
+            scratch.remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for frame in frames:
+        removed_from(frame.sparkSession, [frame.stored_at])
+
+
 def own(df: DataFrame, **columns: Column | str) -> DataFrame:
     """Only the named columns, under names of the operator's own, so that further columns of the input can't clash."""
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])

@@ -7,9 +7,6 @@ other hubs, round after round, until rounds find no more links."""
 
 from __future__ import annotations
 
-import gc
-import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import chunked, own, prepared, shared_dir, table, utf8
+from bagflow.llm.common import chunked, discard, own, prepared, stored, table, utf8
 from bagflow.llm.minhash import BANDS, BINS, TINY, bands, set_key, shingle_sets, short, signatures
 
 #: Linked if 100 * intersection >= PERCENT * union; the query of operator 2 asks for 85.
@@ -34,21 +31,6 @@ SLACK = 0.15
 SKETCH = "doc_id bigint, text_code bigint, n_shingles bigint, node binary, sig binary"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, which cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    # what was shuffled for it is not wanted again: the driver's collection lets the cleaner remove it now, not in half an hour;
-    # it must come after the listeners have let go of the write
-    del df
-    gc.collect()
-    time.sleep(0.2)
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, bounds = utf8(batch.column(2))
@@ -177,9 +159,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         some = not found.isEmpty()
         if some:
             label = components(edges)
-        if rounds >= ROUNDS and not some or label is None and rounds >= ROUNDS:
+        discard(close)
+        if rounds >= ROUNDS and not some:
             break
         rounds += 1
+    discard(bodies, buckets)
 
     known = classes.select("node", "doc_id")
     known = known.withColumn("comp", F.col("node")) if label is None else known.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

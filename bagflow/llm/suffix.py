@@ -19,8 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import chunked, mix, own, prepared, span_hashes, table, utf8
-from bagflow.llm.dedup import stored
+from bagflow.llm.common import chunked, mix, own, prepared, span_hashes, stored, table, utf8
 
 #: Bytes of a string that may not come again, and of the substrings whose hashes compete for its anchor.
 LENGTH, GRAM = 50, 16

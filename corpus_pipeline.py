@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,16 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagflow.llm import bpe, decontaminate, dedup, quality, suffix
-from bagflow.llm.common import prepared, shared_dir, table
+from bagflow.llm.common import prepared, removed_from, scratch, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+_left: list[str] = []
+
+
+def _after_the_last(stage: Stage) -> Stage:
+    """A stage begins when the one before has been written, so what that wrote for itself can go first."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed_from(spark, _left)
+        _left.clear()
+        before = set(scratch)
+        out = stage(spark, docs, sf_dir)
+        _left.extend(path for path in scratch if path not in before)
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality.keep_good),
-    ("minhash_near_dedup", dedup.one_of_each),
-    ("suffix_array_dedup", suffix.without_repeats),
-    ("benchmark_decontamination", decontaminate.keep_clean),
-    ("byte_level_bpe", bpe.tokenised),
+    ("quality_rules", _after_the_last(quality.keep_good)),
+    ("minhash_near_dedup", _after_the_last(dedup.one_of_each)),
+    ("suffix_array_dedup", _after_the_last(suffix.without_repeats)),
+    ("benchmark_decontamination", _after_the_last(decontaminate.keep_clean)),
+    ("byte_level_bpe", _after_the_last(bpe.tokenised)),
 ]
 
 #: Signatures, suffix order, BM25 and merges can't be said in SQL; tests/llm holds the stages against brute force.
