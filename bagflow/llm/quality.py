@@ -145,4 +145,4 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark, sf_dir):
-    return quality_measures(table(spark, sf_dir, "documents"))
+    return quality_measures(table(spark, sf_dir, "documents")).drop("dup_char_shares", "dup_line_share", "dup_line_char_share")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bagflow.llm import bpe, decontaminate, dedup, html, lm, quality, sharding, suffix, urls, warc
+from bagflow.llm import bpe, decontaminate, dedup, html, lm, oracles, quality, sharding, suffix, urls, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL; the other queries can't be said in SQL and are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {"op2_minhash": dedup.ORACLE, "op3_suffix": suffix.ORACLE, "op4_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op2_minhash": dedup.ORACLE, "op3_suffix": suffix.ORACLE, "op4_warc": warc.ORACLE, "op5_sharding": oracles.SHARDS, "op10_quality": oracles.QUALITY}

@@ -436,19 +436,18 @@ def op3_suffix(spark, sf_dir):
     return cut_documents(table(spark, sf_dir, "documents"))
 
 
-#: Brute force over all windows of 50 bytes, in hexadecimal.
+#: Brute force over all windows of 50 bytes, in hexadecimal: t has the windows that go, u their maximal runs.
 ORACLE = """
 with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
 w as (select doc_id, unnest(range(0, n - 49)) as s, h from d where n >= 50),
-g as (select doc_id, s, substr(h, 2 * s + 1, 100) as x from w),
+g as (select doc_id, s, hash(substr(h, 2 * s + 1, 100)) as x from w),
 f as (select x, min(doc_id) as first_id from g group by x having count(*) > 1),
-r as (select g.doc_id, g.s from g join f on g.x = f.x where g.doc_id > f.first_id),
-b as (select distinct doc_id, s + i as p from r, range(0, 50) t(i)),
-k as (select doc_id, count(*) as n_removed, cast(sum(case when before is null or before < p - 1 then 1 else 0 end) as bigint) as n_spans
-  from (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from b) group by 1),
-e as (select d.doc_id, unnest(range(0, d.n)) as p, d.h from d join k on d.doc_id = k.doc_id),
-q as (select e.doc_id, string_agg(substr(e.h, 2 * e.p + 1, 2), '' order by e.p) as h from e anti join b on e.doc_id = b.doc_id and e.p = b.p group by 1)
-select d.doc_id, d.n as n_bytes, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans,
-  sha256(case when k.doc_id is null then unhex(d.h) else unhex(coalesce(q.h, '')) end) as kept_sha256
-from d left join k on d.doc_id = k.doc_id left join q on d.doc_id = q.doc_id
+t as (select g.doc_id, g.s, lag(g.s) over (partition by g.doc_id order by g.s) as before from g join f on g.x = f.x where g.doc_id > f.first_id),
+i as (select doc_id, s, sum(case when before is null or s > before + 50 then 1 else 0 end) over (partition by doc_id order by s rows unbounded preceding) as run from t),
+u as (select doc_id, min(s) as a, max(s) + 50 as b from i group by doc_id, run),
+v as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as upto from u),
+k as (select v.doc_id, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans,
+    string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as h from v join d on v.doc_id = d.doc_id group by 1)
+select d.doc_id, d.n as n_bytes, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.h, d.h))) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
 """
