@@ -59,15 +59,21 @@ def stored(df: DataFrame) -> DataFrame:
     scratch.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    # what was shuffled for it is not wanted again: the driver's collection lets the cleaner remove it now, not in half an hour;
-    # it must come after the listeners have let go of the write
     del df
-    gc.collect()
-    time.sleep(0.2)
-    spark.sparkContext._jvm.System.gc()
+    released(spark)
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """What was shuffled for finished actions is not wanted again: the driver's collection lets the cleaner remove it now and
+    not in half an hour. It must come after the listeners have let go of the actions."""
+    gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def removed_from(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables by the session's own file systems."""
     for path in paths:

@@ -25,7 +25,7 @@ from bagflow.llm.common import chunked, mix, own, prepared, span_hashes, stored,
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes that a bucket of anchors, or of contexts, stands for: what one step of a task holds follows from it.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Rows of an Arrow batch here; repeats inside a batch are settled before anything is shuffled.
 BATCH = 3000
 
@@ -356,8 +356,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["text_code", "kept", "n_removed", "n_spans"])
 
 
-def cut_texts(base: DataFrame, first: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(text_code, kept, n_removed, n_spans) of the distinct texts that lose bytes, each in its smallest id.
+def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(code, first_id, spans): what the distinct texts that lose bytes lose, each in its smallest id.
 
     base: text_code, id, text of all documents; first: text_code and its smallest id."""
     spark = base.sparkSession
@@ -373,9 +373,15 @@ def cut_texts(base: DataFrame, first: DataFrame, buckets: int | None = None) ->
     met = base.join(keyed.hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "id", "text", "codes")
     sent = met.mapInArrow(_contexts(buckets), CONTEXTS)
     spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_remove, "text_code bigint, spans bigint")
-    # in the same query as the contexts, so that the texts, dealt out for those, needn't be dealt out again
     by_text = spans.groupBy("text_code").agg(F.collect_list("spans").alias("spans"))
-    keyed = by_text.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "spans")
+    return by_text.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "spans")
+
+
+def cut_texts(base: DataFrame, first: DataFrame) -> DataFrame:
+    """(text_code, kept, n_removed, n_spans) of the distinct texts that lose bytes.
+
+    In one query with the search, so that the texts, dealt out for that, needn't be dealt out again."""
+    keyed = spans_of(base, first)
     met = base.join(keyed.hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "text", "spans")
     return met.mapInArrow(_cut, "text_code bigint, kept binary, n_removed bigint, n_spans bigint")
 
@@ -409,27 +415,33 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its text without what documents of smaller ids have. Of a character that is cut in part
-    the rest goes too; n_chars, where the table has it, follows the new text. A null text that loses nothing stays null."""
+    the rest goes too; n_chars, where the table has it, follows the new text. A null text stays null.
+
+    Not texts but their spans meet the documents, and copies of a text come as one span over all of it."""
     prepared(spark)
     base, first = based(docs, "doc_id", "text")
-    cut = cut_texts(base.select("text_code", "id", "text"), first)
-    cut = cut.select("text_code", "kept").dropDuplicates(["text_code"]).mapInArrow(_readable, "__cut bigint, __kept string")
-    cut = first.join(cut, F.col("text_code") == F.col("__cut"), "left").select(F.col("text_code").alias("__cut"), F.col("first_id").alias("__first"), "__kept")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"__code": F.xxhash64(body), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
-    # copies of smaller ids go whole; they meet their text's first id, which is all that is wanted for them
-    copies = rows.join(cut.select("__cut", "__first", "__kept"), F.col("__code") == F.col("__cut"))
-    gone = (F.col("__id") > F.col("__first")) & (F.octet_length(body) >= LENGTH)
-    new = F.when(gone, F.lit("")).otherwise(F.coalesce("__kept", "text"))
-    out = copies.withColumn("__new", new)
-    size = F.when(F.col("__new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__new")) if "n_chars" in docs.columns else None
-    return out.select(*[F.col("__new").alias(c) if c == "text" else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
-
-
-def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = spans_of(base.select("text_code", "id", "text"), first).select("code", F.col("first_id").alias("at"), "spans")
+    copies = base.select("text_code", "id", F.octet_length("text").cast("long").alias("n")).where(f"n >= {LENGTH}").join(first, "text_code").where("id > first_id")
+    copies = copies.select(F.col("text_code").alias("code"), F.col("id").alias("at"), F.array("n").alias("spans")).dropDuplicates(["code", "at"])
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(
+        F.struct(*others).alias("row_key"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_code"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id")
+    )
+    met = rows.join(spans.unionAll(copies).hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("at")), "left")
+    kind = rows.schema["row_key"].dataType.simpleString()
+    out = met.select("row_key", "text", "spans").mapInArrow(_rewrite, f"row_key {kind}, text string, cut boolean")
+    size = F.when(F.col("cut"), F.length("text")).otherwise(F.col("row_key.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
+    return out.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col("row_key")[c].alias(c) for c in docs.columns])
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [kept.decode("utf-8", "ignore") for kept in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__cut", "__kept"])
+        texts, cut = batch.column(1).to_pylist(), batch.column(2).is_valid()
+        for k in np.flatnonzero(cut.to_numpy(zero_copy_only=False)):
+            if texts[k] is not None:
+                body = np.frombuffer(texts[k].encode(), np.uint8)
+                texts[k] = body[~removed(len(body), np.array(batch.column(2)[int(k)].as_py(), np.int64))].tobytes().decode("utf-8", "ignore")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), cut], ["row_key", "text", "cut"])
 
 
 def op3_suffix(spark, sf_dir):
