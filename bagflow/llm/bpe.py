@@ -22,7 +22,7 @@ from bagflow.llm.common import own, prepared, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encoded pieces a Python worker remembers; beyond that it begins anew, which costs time and changes nothing.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 _NONE = 1 << 60
 
