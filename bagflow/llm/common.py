@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +70,8 @@ def released(spark: SparkSession) -> None:
     """What was shuffled for finished actions is not wanted again: the driver's collection lets the cleaner remove it now and
     not in half an hour. It must come after the listeners have let go of the actions."""
     gc.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    with contextlib.suppress(Py4JError):  # a bus that is still busy only delays the removal
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)

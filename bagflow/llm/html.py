@@ -41,6 +41,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond reply replies disqus discussion related recommended pagination pager toolbar skip".split()
 )
+#: A class that says how a page is laid out, such as "with-sidebar", stands on what holds the article.
+LAYOUT = frozenset("has with no without layout page".split())
 #: Page or site headers; inside an article a header holds its title.
 DROP_OUTSIDE = frozenset("header topbar".split())
 NEVER = frozenset("html body main article".split())
@@ -51,7 +53,7 @@ FORMATTING = frozenset("a abbr b bdi bdo big cite code data del dfn em font i in
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = re.compile(r"://([^/?#]*)")
-PARTS = re.compile(r"[\s\-_]+")
+PARTS = re.compile(r"[-_]+")
 
 
 def host_of(url: str | None) -> str:
@@ -74,9 +76,10 @@ def dropped(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and value.strip() in DROP_ROLES:
             return True
         if name in ("class", "id"):
-            parts = set(PARTS.split(value))
-            if parts & DROP_WORDS or not in_article and parts & DROP_OUTSIDE:
-                return True
+            for one in value.split():
+                parts = set(PARTS.split(one))
+                if not parts & LAYOUT and (parts & DROP_WORDS or not in_article and parts & DROP_OUTSIDE):
+                    return True
     return False
 
 

@@ -33,6 +33,7 @@ CASES = [
     ("<td>1<td>2<li>3<li>4", "1 2 3 4"),
     ("<article>" + "<p>w" * 3000 + "</article>", " ".join(["w"] * 3000)),
     ("< not a tag & <3 <p>x</p >y</P>", "< not a tag & <3 x y"),
+    ("<div class='page with-sidebar no-ads'><article><p>in</p><div class='post related-posts'>more</div></article><div id=left-sidebar>s</div></div>", "in"),
     ('<p title="a > b">quoted</p><p title="open>rest', "quoted rest"),
 ]
 
