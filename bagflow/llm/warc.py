@@ -23,6 +23,8 @@ from bagflow.llm.common import own, prepared, shared_dir, table
 
 #: Uncompressed bytes after which a task begins its next archive, bytes read at once, and gzip's level.
 ARCHIVE_BYTES, READ_BYTES, LEVEL = 256 << 20, 1 << 20, 5
+#: Bytes of archives that make a task.
+TASK_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST = "path string, records bigint, bytes bigint"
@@ -225,14 +227,21 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
     return plan.mapInArrow(_writer(folder), MANIFEST).checkpoint()
 
 
+def dealt_out(manifest: DataFrame) -> DataFrame:
+    """Archives over tasks: one to a task if they are large, several if they are small."""
+    seen = manifest.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(2 * manifest.sparkSession.sparkContext.defaultParallelism, -(-(seen["bytes"] or 0) // TASK_BYTES))
+    return manifest.repartition(max(1, min(seen["n"], tasks)))
+
+
 def normalise_archives(manifest: DataFrame) -> DataFrame:
-    """One gzip member per record and a sidecar index for each archive. A task streams one archive: it holds one record."""
-    return manifest.repartition(max(1, manifest.count())).mapInArrow(_normalise, NORMALISED).checkpoint()
+    """One gzip member per record and a sidecar index for each archive. A task streams its archives: it holds one record."""
+    return dealt_out(manifest).mapInArrow(_normalise, NORMALISED).checkpoint()
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
     """Every record of the archives, read by its place in the sidecar index."""
-    return normalised.repartition(max(1, normalised.count())).mapInArrow(_read, RECORDS)
+    return dealt_out(normalised).mapInArrow(_read, RECORDS)
 
 
 def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
