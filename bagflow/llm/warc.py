@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import own, prepared, shared_dir, table
+from bagflow.llm.common import own, prepared, released, shared_dir, table
 
 #: Uncompressed bytes after which a task begins its next archive, bytes read at once, and gzip's level.
 ARCHIVE_BYTES, READ_BYTES, LEVEL = 256 << 20, 1 << 20, 5
@@ -224,7 +224,9 @@ def record_plan(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 def write_archives(plan: DataFrame, folder: str) -> DataFrame:
     """Writes monolithic .warc.gz files; the manifest of those that count is written to the checkpoint folder, so that
     files of lost attempts are never read."""
-    return plan.mapInArrow(_writer(folder), MANIFEST).checkpoint()
+    manifest = plan.mapInArrow(_writer(folder), MANIFEST).checkpoint()
+    released(plan.sparkSession)
+    return manifest
 
 
 def dealt_out(manifest: DataFrame) -> DataFrame:
