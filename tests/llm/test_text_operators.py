@@ -304,7 +304,7 @@ def test_lm_holds_out_better_than_order_zero(spark):
     model = lm.learn(docs.where(~lm.held_out("doc_id")))
     got = lm.scored(docs.where(lm.held_out("doc_id")), model).join(docs.select("doc_id", "text"), "doc_id").selectExpr("sum(score) s", "sum(octet_length(text) + 1) n").first()
     bits = -got["s"] / got["n"] * math.log2(10)
-    assert bits < 3.0  # bytes alone need 4.3
+    assert bits < 3.0  # single bytes need over 4
 
 
 # 10
