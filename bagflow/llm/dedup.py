@@ -3,7 +3,8 @@
 Equal shingle sets are one class. Classes that share a bucket are candidates, but only as a star: all against one hub. Links are
 confirmed on whole sets. The first hub of a bucket is its least id, which among copies most often is the original. A star may
 miss a link between two members that the hub is not linked with, so buckets that still hold more than one component are given
-other hubs, round after round, until rounds find no more links."""
+other hubs, GROWTH times as many each round, until each bucket is one component or all its members have been hubs: no pair of
+a bucket is left that is neither compared nor in one component. A crowd that is alike but not linked costs all its pairs."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagflow.llm.common import chunked, discard, own, prepared, stored, table, utf8
@@ -19,8 +20,8 @@ from bagflow.llm.minhash import BANDS, BINS, TINY, bands, set_key, shingle_sets,
 
 #: Linked if 100 * intersection >= PERCENT * union; the query of operator 2 asks for 85.
 PERCENT = 80
-#: Rounds of other hubs at least; more follow while a round finds links.
-ROUNDS = 3
+#: Members of a bucket that have been hubs after a round, as a multiple of those before it.
+GROWTH = 4
 #: Leaves that are compared with one copy of their hub's text; a hub with more has more copies.
 LEAVES = 256
 
@@ -136,34 +137,43 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     signed = classes.where("sig is not null").select("node", "doc_id", "sig")
     members = signed.mapInArrow(_band, "node binary, doc_id bigint, band bigint")
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = stored(members.join(shared, "band"))
-    wanted = classes.join(buckets.select("node").distinct(), "node").select("node", F.col("doc_id").alias("id"), F.col("text_code").alias("code"))
+    # the order in which members are hubs: by id for the first, then another order in each band
+    by_id = Window.partitionBy("band").orderBy(F.col("doc_id").asc_nulls_last(), "node")
+    by_hash = Window.partitionBy("band").orderBy(F.col("first").desc(), F.xxhash64("node", "band"), "node")
+    ranked = members.join(shared, "band").withColumn("first", F.row_number().over(by_id) == 1)
+    live = stored(ranked.select("node", "band", (F.row_number().over(by_hash) - 1).alias("rank")))
+    wanted = classes.join(live.select("node").distinct(), "node").select("node", F.col("doc_id").alias("id"), F.col("text_code").alias("code"))
     bodies = stored(wanted.join(coded, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("code") == F.col("text_code"))).select("node", "text").dropDuplicates(["node"]))
 
     edges = label = tested = None
-    rounds = 0
+    done, upto = 0, 1
     while True:
-        comp = buckets.withColumn("comp", F.col("node")) if label is None else buckets.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        first = F.xxhash64("node", F.lit(rounds)) if rounds else F.col("doc_id")
-        hub = comp.groupBy("band").agg(F.min(F.struct(first.alias("h"), "node", "comp")).alias("x"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        hub = hub.where("low <> high").select("band", F.col("x.node").alias("hub"), F.col("x.comp").alias("hub_comp"))
-        pairs = comp.join(hub, "band").where("comp <> hub_comp").select(F.col("node").alias("leaf"), "hub").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["leaf", "hub"], "left_anti").join(tested.select(F.col("hub").alias("leaf"), F.col("leaf").alias("hub")), ["leaf", "hub"], "left_anti")
-        pairs = stored(pairs)
-        sides = pairs.join(signed.select(F.col("node").alias("leaf"), F.col("sig").alias("leaf_sig")), "leaf").join(signed.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        close = stored(sides.select("leaf", "hub", "leaf_sig", "hub_sig").mapInArrow(_agree(percent / 100 - SLACK), "leaf binary, hub binary"))
-        found = stored(confirmed(close, bodies, percent))
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        edges = found if edges is None else edges.unionAll(found)
-        some = not found.isEmpty()
-        if some:
-            label = components(edges)
-        discard(close)
-        if rounds >= ROUNDS and not some:
+        comp = live.withColumn("comp", F.col("node")) if label is None else live.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = comp.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("last")).where((F.col("low") != F.col("high")) & (F.col("last") > done)).select("band")
+        now = stored(comp.join(mixed, "band").select("node", "band", "rank", "comp"))
+        discard(live)
+        live = now.select("node", "band", "rank")
+        live.stored_at = now.stored_at
+        if now.isEmpty():
             break
-        rounds += 1
-    discard(bodies, buckets)
+        hub = now.where((F.col("rank") >= done) & (F.col("rank") < upto)).select("band", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("rank").alias("hub_rank"))
+        pairs = now.join(hub, "band").where("comp <> hub_comp and rank > hub_rank").select(F.col("node").alias("leaf"), "hub")
+        # a pair that two bands order differently is one pair
+        pairs = pairs.groupBy(F.least("leaf", "hub").alias("a"), F.greatest("leaf", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs.select("a", "b", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("leaf"), "hub"))
+        if not pairs.isEmpty():
+            sides = pairs.select("leaf", "hub").join(signed.select(F.col("node").alias("leaf"), F.col("sig").alias("leaf_sig")), "leaf").join(signed.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+            close = stored(sides.select("leaf", "hub", "leaf_sig", "hub_sig").mapInArrow(_agree(percent / 100 - SLACK), "leaf binary, hub binary"))
+            found = stored(confirmed(close, bodies, percent))
+            tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
+            edges = found if edges is None else edges.unionAll(found)
+            if not found.isEmpty():
+                label = components(edges)
+            discard(close)
+        done, upto = upto, upto * GROWTH
+    discard(bodies, live)
 
     known = classes.select("node", "doc_id")
     known = known.withColumn("comp", F.col("node")) if label is None else known.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

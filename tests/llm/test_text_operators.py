@@ -97,6 +97,31 @@ def test_stars_reach_members_their_first_hub_misses(spark):
     assert bag(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(texts, dedup.PERCENT)
 
 
+def test_pairs_of_a_crowded_template_are_all_compared(spark):
+    """Texts of one template just under the threshold, some with one partner just above it that shares two of their changes."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(1154)]
+    slots = range(4, 1149, 5)
+
+    def text(changes):
+        w = list(template)
+        for at, word in changes:
+            w[at] = word
+        return " ".join(w)
+
+    texts = []
+    for i in range(100):
+        own = [(at, f"c{i}at{at}") for at in rng.sample(slots, 11)]
+        texts.append((3 * i, text(own)))
+        if i < 20:
+            taken = {at for at, _ in own}
+            texts.append((3 * i + 1, text(own[:2] + [(at, f"p{i}at{at}") for at in rng.sample([x for x in slots if x not in taken], 9)])))
+    want = brute_components(texts, 85)
+    assert sum(not kept for _, _, _, kept in want) >= 20
+    got = dedup.linked(spark.createDataFrame(texts, "doc_id bigint, text string"), percent=85)
+    assert bag(got, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([0, i + 1]), bytes([0, i])) for i in range(60)] + [(b"\x09\x09", b"\x09\x08")], "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["comp"]) for r in dedup.components(edges).collect()}
