@@ -364,3 +364,19 @@ def test_quality(docs, none):
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert not kept[130] and not kept[133] and not kept[121] and kept[132]
     assert quality.quality_measures(none).count() == 0
+
+
+def test_repetition_decides_beyond_the_base(spark):
+    """Texts that pass the base: by n-grams, by lines, and a short one with one line found twice, which stays."""
+    w = [f"w{i}" for i in range(300)]
+    passage = " ".join(w[:12])
+    prose = [" ".join(w[6 * i : 6 * i + 6]) for i in range(20)]
+    texts = {
+        "ngrams": f"{passage} {' '.join(w[20:60])} {passage} {' '.join(w[60:100])}",
+        "lines": "\n".join(x for k in range(14) for x in ([prose[k], "see more"] if k < 8 else [prose[k]])),
+        "once": "\n".join([*prose[:9], prose[0]]),
+        "plain": " ".join(w),
+    }
+    frame = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    got = {list(texts)[r["doc_id"]]: (r["base_failed"], r["kept"]) for r in quality.quality_measures(frame).collect()}
+    assert got == {"ngrams": (False, False), "lines": (False, False), "once": (False, True), "plain": (False, True)}
