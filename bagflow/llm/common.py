@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import gc
-import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch and bytes of a batch that a Python kernel takes at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
@@ -33,9 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with small Arrow batches and a folder for checkpoints.
-
-    The folder is the cluster's (spark.checkpoint.dir); only where the session has none, as in tests, one is made."""
+    """The session with small Arrow batches, alike for all operators; the shared folder must be known."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     shared_dir(spark)
@@ -43,38 +38,54 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The cluster's folder for checkpoints (spark.checkpoint.dir). Without one nothing is written: a local folder would be lost to
+    the other machines."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Tables written by stored() and not discarded, in order.
-scratch: list[str] = []
+#: Spark removes the shuffle files of a finished action at once where this is set; it is set for the length of one write only.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, which cuts the lineage."""
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Written to the shared folder and read again, which cuts the lineage; what was shuffled for it is removed by Spark when the
+    table stands. Whoever stores a table discards it after its last reader has run; what a returned frame reads stays."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    scratch.append(path)
+    if path is None:
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
+        if (made := _made.get()) is not None:
+            made.append(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    del df
-    released(spark)
     return out
 
 
-def released(spark: SparkSession) -> None:
-    """What was shuffled for finished actions is not wanted again: the driver's collection lets the cleaner remove it now and
-    not in half an hour. It must come after the listeners have let go of the actions."""
-    gc.collect()
-    with contextlib.suppress(Py4JError):  # a bus that is still busy only delays the removal
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def scratch_deleted(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was stored inside it, in this thread, without a path of its own. For callers who have written by
+    then whatever they want to keep."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        removed_from(spark, made)
 
 
 def removed_from(spark: SparkSession, paths: list[str]) -> None:
@@ -82,14 +93,13 @@ def removed_from(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in scratch:
-            scratch.remove(path)
 
 
-def discard(*frames: DataFrame) -> None:
+def discard(*frames: DataFrame | None) -> None:
     """Deletes stored tables that nothing reads any more."""
     for frame in frames:
-        removed_from(frame.sparkSession, [frame.stored_at])
+        if frame is not None:
+            removed_from(frame.sparkSession, [frame.stored_at])
 
 
 def own(df: DataFrame, **columns: Column | str) -> DataFrame:

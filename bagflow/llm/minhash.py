@@ -11,8 +11,6 @@ from bagflow.llm.common import LOWER, mix, span_hashes, words
 #: Words of a shingle; bins of a signature; bins of a band.
 SHINGLE, BINS, ROWS = 5, 128, 4
 BANDS = BINS // ROWS
-#: Sets of so few shingles reach the threshold with an equal set only (5 of 6 is 0.83), so they need no bands.
-TINY = 5
 
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import own, prepared, released, shared_dir, table
+from bagflow.llm.common import own, prepared, removed_from, shared_dir, stored, table
 
 #: Uncompressed bytes after which a task begins its next archive, bytes read at once, and gzip's level.
 ARCHIVE_BYTES, READ_BYTES, LEVEL = 256 << 20, 1 << 20, 5
@@ -222,11 +222,9 @@ def record_plan(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 
 def write_archives(plan: DataFrame, folder: str) -> DataFrame:
-    """Writes monolithic .warc.gz files; the manifest of those that count is written to the checkpoint folder, so that
-    files of lost attempts are never read."""
-    manifest = plan.mapInArrow(_writer(folder), MANIFEST).checkpoint()
-    released(plan.sparkSession)
-    return manifest
+    """Writes monolithic .warc.gz files; the manifest of those that count is written to the shared folder, so that files of lost
+    attempts are never read."""
+    return stored(plan.mapInArrow(_writer(folder), MANIFEST))
 
 
 def dealt_out(manifest: DataFrame) -> DataFrame:
@@ -238,7 +236,7 @@ def dealt_out(manifest: DataFrame) -> DataFrame:
 
 def normalise_archives(manifest: DataFrame) -> DataFrame:
     """One gzip member per record and a sidecar index for each archive. A task streams its archives: it holds one record."""
-    return dealt_out(manifest).mapInArrow(_normalise, NORMALISED).checkpoint()
+    return stored(dealt_out(manifest).mapInArrow(_normalise, NORMALISED))
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
