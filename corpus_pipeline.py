@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Callable
 
@@ -10,34 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagflow.llm import bpe, decontaminate, dedup, quality, suffix
-from bagflow.llm.common import prepared, removed_from, scratch, shared_dir, table
+from bagflow.llm.common import discard, prepared, scratch_deleted, shared_dir, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_left: list[str] = []
-
-
-def _after_the_last(stage: Stage) -> Stage:
-    """A stage begins when the one before has been written, so what that wrote for itself can go first."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        removed_from(spark, _left)
-        _left.clear()
-        before = set(scratch)
-        out = stage(spark, docs, sf_dir)
-        _left.extend(path for path in scratch if path not in before)
-        return out
-
-    return run_stage
-
-
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", _after_the_last(quality.keep_good)),
-    ("minhash_near_dedup", _after_the_last(dedup.one_of_each)),
-    ("suffix_array_dedup", _after_the_last(suffix.without_repeats)),
-    ("benchmark_decontamination", _after_the_last(decontaminate.keep_clean)),
-    ("byte_level_bpe", _after_the_last(bpe.tokenised)),
+    ("quality_rules", quality.keep_good),
+    ("minhash_near_dedup", dedup.one_of_each),
+    ("suffix_array_dedup", suffix.without_repeats),
+    ("benchmark_decontamination", decontaminate.keep_clean),
+    ("byte_level_bpe", bpe.tokenised),
 ]
 
 #: Signatures, suffix order, BM25 and merges can't be said in SQL; tests/llm holds the stages against brute force.
@@ -45,11 +26,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stages leave of the documents: every column but the text, the token ids, their number and their digest."""
+    """What the stages leave of the documents: every column but the text, the token ids, their number and their digest.
+
+    Null, empty and short texts go in the first stage, rows that repeat an id and text in the second. An empty table gives no
+    rows; further columns of any name pass through. A stage's table, and what the stage stored for itself, is deleted when the
+    next one's stands; the last stage reads the fourth one's, which stays, as this frame is run by the caller."""
     prepared(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_deleted(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet")
+        discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir).withColumn("ids_sha256", F.sha2("ids", 256))
