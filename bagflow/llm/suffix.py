@@ -5,9 +5,11 @@ fit a machine, so the suffixes are dealt out such that equal strings of LENGTH b
 
 1. Every such string (a window) has an anchor, the least hash among its substrings of GRAM bytes; equal windows have equal anchors.
    Anchors found in one text only are dropped, which leaves the fifth of the corpus that might repeat.
-2. A run of windows with one anchor, with its bytes, is a context. Contexts are dealt by anchor into buckets of bounded bytes.
-3. In a bucket the windows are put in suffix order to depth LENGTH. Among equal neighbours in that order stands, as previous
-   smaller position, the match in the earliest document: the longest previous factor reaches LENGTH, and the later copy goes."""
+2. A run of windows with one anchor, with its bytes, is a context. Contexts are dealt by anchor into buckets of bounded bytes; an
+   anchor that very many texts have would fill one, so its windows are dealt one by one, by their own hash.
+3. In a bucket the windows are put in suffix order to depth LENGTH. The nearest neighbours in that order from earlier documents, the
+   previous and the next smaller position, give each window its longest previous factor, and where that reaches LENGTH the
+   window goes; the earliest document keeps its copy."""
 
 from __future__ import annotations
 
@@ -19,25 +21,47 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import chunked, mix, own, prepared, span_hashes, stored, table, utf8
+from bagflow.llm.common import chunked, discard, mix, own, prepared, span_hashes, stored, table, utf8
 
 #: Bytes of a string that may not come again, and of the substrings whose hashes compete for its anchor.
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes that a bucket of anchors, or of contexts, stands for: what one step of a task holds follows from it.
 BUCKET_BYTES = 4 << 20
-#: Rows of an Arrow batch here; repeats inside a batch are settled before anything is shuffled.
-BATCH = 3000
+#: Windows that are put in suffix order at once, at most, but for those that begin with the same eight bytes.
+SLICE = 200_000
+#: Texts (of those asking after it) from which on an anchor is hot, and hot anchors that every task knows, at most: with more, the
+#: number of texts is raised until they are few enough.
+HOT_TEXTS, HOT_ANCHORS = 1000, 200_000
 
 _P = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(body: np.ndarray) -> np.ndarray:
-    """A hash of every GRAM bytes, by doubling the length hashed."""
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_P, n, 2**64))
+
+
+def rolled(body: np.ndarray) -> np.ndarray:
+    """A polynomial hash of every GRAM bytes, by doubling the length hashed."""
     out, step = body.astype(np.uint64) + np.uint64(1), 1
     while step < GRAM:
-        out = out[:-step] * np.uint64(pow(_P, step, 2**64)) + out[step:]
+        out = out[:-step] * _power(step) + out[step:]
         step *= 2
+    return out
+
+
+def gram_hashes(body: np.ndarray) -> np.ndarray:
+    return mix(rolled(body))
+
+
+def window_hashes(body: np.ndarray) -> np.ndarray:
+    """A hash of every LENGTH bytes, from the hashes of GRAM bytes and single bytes for the rest."""
+    grams, size = rolled(body), len(body) - LENGTH + 1
+    out = np.zeros(size, np.uint64)
+    for k in range(0, LENGTH - GRAM + 1, GRAM):
+        out = out * _power(GRAM) + grams[k : k + size]
+    for k in range(LENGTH // GRAM * GRAM, LENGTH):
+        out = out * _power(1) + (body[k : k + size].astype(np.uint64) + np.uint64(1))
     return mix(out)
 
 
@@ -183,12 +207,22 @@ def _named(texts: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
 
 def settle(code: np.ndarray, ids: np.ndarray, body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For contexts, which of them (the head) is the same bytes in the smallest id, and whether that id is smaller than theirs."""
+    size = np.diff(bounds)
     hashes = span_hashes(body, bounds[:-1], bounds[1:])
     order = np.lexsort((ids, hashes, code))
     c, h = code[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])) if len(c) else np.zeros(0, np.int64)
     head = np.empty(len(c), np.int64)
     head[order] = np.repeat(order[first], np.diff(np.append(first, len(c))))
+    # the bytes decide, not the hash
+    other = np.flatnonzero(head != np.arange(len(head)))
+    same = size[other] == size[head[other]]
+    head[other[~same]] = other[~same]
+    other = other[same]
+    if len(other):
+        differ = gathered(body, bounds[other], size[other]) != gathered(body, bounds[head[other]], size[other])
+        wrong = other[np.add.reduceat(differ, np.cumsum(size[other]) - size[other]) > 0]
+        head[wrong] = wrong
     return head, ids > ids[head]
 
 
@@ -206,7 +240,29 @@ def gathered(body: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarr
 CONTEXTS = "bucket int, text_code bigint, spans binary, subs binary, ids binary, texts binary, starts binary, sizes binary, body binary"
 
 
-def _contexts(buckets: int) -> Callable:
+def alone(body: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, buckets: int) -> tuple:
+    """Contexts of hot anchors taken apart into their windows: (code, row, place) of those that only their bucket can settle, and
+    (row, begin, end) of runs of windows that a smaller id among these texts has."""
+    n = end - begin
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+    row = np.repeat(row, n)
+    hashes = window_hashes(body)[place]
+    order = np.lexsort((ids[row], hashes))
+    h = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    head = np.empty(len(order), np.int64)
+    head[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    later = ids[row] > ids[row[head]]
+    for mine, its in zip(words_at(body, place[later]), words_at(body, place[head[later]]), strict=True):
+        later[later] &= mine == its
+    bucket, sub = code_of(hashes[~later], buckets)
+    gone, of = place[later], row[later]
+    new = np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (of[1:] != of[:-1])]) if len(gone) else np.zeros(0, bool)
+    last = np.append(new[1:], True) if len(gone) else new
+    return bucket.astype(np.int64) << 32 | sub, row[~later], place[~later], of[new], gone[new], gone[last] + LENGTH
+
+
+def _contexts(buckets: int, hot: np.ndarray) -> Callable:
     """(text_code, id, text, codes) to rows by bucket. With spans: removals that this batch alone shows, for a text. With the
     rest: contexts that only their bucket can settle; of equal ones in a batch only those of the smallest id are sent."""
 
@@ -218,7 +274,7 @@ def _contexts(buckets: int) -> Callable:
             flat = lists.values.to_numpy(zero_copy_only=False)
             codes = [np.sort(flat[at[k] : at[k + 1]]) for k in range(len(lists))]
             body, bounds = utf8(batch.column(2))
-            parts = []
+            parts, settled = [], []
             for first, last, part, cuts in chunked(body, bounds):
                 row, begin, end, anchor = anchors(part, cuts)
                 bucket, sub = code_of(anchor, buckets)
@@ -229,14 +285,24 @@ def _contexts(buckets: int) -> Callable:
                     mine, known = code[at[k] : at[k + 1]], codes[first + k]
                     shared[at[k] : at[k + 1]] = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
                 row, begin, end, code = row[shared], begin[shared], end[shared], code[shared]
+                many = hot[np.minimum(np.searchsorted(hot, code), len(hot) - 1)] == code if len(hot) else np.zeros(len(code), bool)
+                if many.any():
+                    c, r, place, of, a, b = alone(part, row[many], begin[many], end[many], ids[first:last], buckets)
+                    settled.append((names[first + of], a - cuts[of], b - cuts[of]))
+                    size = np.full(len(c), LENGTH)
+                    parts.append((c, first + r, place - cuts[r], size, gathered(part, place, size)))
+                row, begin, end, code = row[~many], begin[~many], end[~many], code[~many]
                 size = end - begin + LENGTH - 1
                 parts.append((code, first + row, begin - cuts[row], size, gathered(part, begin, size)))
             if not parts:
                 continue
             code, row, start, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             cuts = np.concatenate([[0], np.cumsum(size)])
             _, later = settle(code, ids[row], text, cuts)
-            done, spans = blobs(names[row[later]], packed(start[later], start[later] + size[later]))
+            settled.append((names[row[later]], start[later], start[later] + size[later]))
+            who, a, b = (np.concatenate(x) for x in zip(*settled, strict=True))
+            done, spans = blobs(who, packed(a, b))
             yield _context_rows(done % buckets, done, spans, None)
             ask = np.flatnonzero(~later)
             ask = ask[np.argsort(code[ask] >> 32, kind="stable")]
@@ -271,28 +337,70 @@ def words_at(body: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
     return [*out, eight[places + LENGTH - rest] >> np.uint64(64 - 8 * rest)] if rest else out
 
 
-def previous_factor(body: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the LENGTH bytes at each place also start at a place with a smaller id.
+def common_prefix(keys: list[np.ndarray]) -> np.ndarray:
+    """Bytes that each string has in common with the one before it, LENGTH at most; keys are the strings in order."""
+    n = len(keys[0])
+    out, undecided = np.full(max(n - 1, 0), LENGTH), np.ones(max(n - 1, 0), bool)
+    for k, key in enumerate(keys):
+        differ = key[1:] ^ key[:-1]
+        now = np.flatnonzero(undecided & (differ != 0))
+        width = min(8, LENGTH - 8 * k)
+        bytes_ = sum((differ[now] < np.uint64(1 << 8 * b)).astype(np.int64) for b in range(1, width))
+        out[now] = 8 * k + bytes_
+        undecided[now] = False
+    return out
+
 
-    The places are put in suffix order to depth LENGTH, ids ascending among equals. Neighbours that agree to that depth form a
-    run; the previous smaller id of a place, if it has one, is in its run, and the run's first is the least. The next smaller
-    one is never in the run, so it adds nothing to what the previous one shows."""
+def previous_smaller(values: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place the least of lcp on the way back to the nearest place with a smaller value; 0 where there is none.
+
+    Least values of 1, 2, 4 … places say how far each may step back without passing a smaller one."""
+    n = len(values)
+    least, shared = [values], [np.concatenate([[0], lcp])]
+    while 2 * (step := 1 << (len(least) - 1)) < n:
+        a, b = least[-1], shared[-1]
+        least.append(np.concatenate([a[:step], np.minimum(a[step:], a[:-step])]))
+        shared.append(np.concatenate([b[:step], np.minimum(b[step:], b[:-step])]))
+    at, out = np.arange(n), np.full(n, LENGTH)
+    for k in range(len(least) - 1, -1, -1):
+        # the 2**k places before `at` end at at - 1
+        can = np.flatnonzero(at >= 1 << k)
+        far = at[can]
+        free = least[k][far - 1] >= values[can]
+        can, far = can[free], far[free]
+        out[can] = np.minimum(out[can], shared[k][far])
+        at[can] = far - (1 << k)
+    return np.where(at > 0, np.minimum(out, shared[0][at]), 0)
+
+
+def previous_factors(body: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each place, LENGTH at most: the longest prefix of the LENGTH bytes there that is also the
+    beginning at a place with a smaller id.
+
+    The places are put in suffix order to depth LENGTH. In that order the best match from an earlier document is the nearest one
+    on either side, so the common prefixes on the way to the previous and to the next smaller id are all that is needed."""
     if not len(places):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     keys = words_at(body, places)
     order = np.lexsort((ids, *keys[::-1]))
-    edge = np.zeros(len(order), bool)
-    edge[0] = True
-    for key in keys:
-        key = key[order]
-        edge[1:] |= key[1:] != key[:-1]
-    first = np.flatnonzero(edge)
-    least = np.repeat(ids[order[first]], np.diff(np.append(first, len(order))))
-    out = np.empty(len(order), bool)
-    out[order] = least < ids[order]
+    lcp = common_prefix([key[order] for key in keys])
+    values = ids[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(previous_smaller(values, lcp), previous_smaller(values[::-1], lcp[::-1])[::-1])
     return out
 
 
+def slices(sub: np.ndarray, head: np.ndarray) -> Iterator[slice]:
+    """Windows, sorted by their anchor and first bytes, in runs of about SLICE; what could be equal stays together."""
+    edge = np.flatnonzero(np.concatenate([[True], (sub[1:] != sub[:-1]) | (head[1:] != head[:-1])])) if len(sub) else np.zeros(0, np.int64)
+    begin = 0
+    while begin < len(sub):
+        at = np.searchsorted(edge, begin + SLICE)
+        end = int(edge[at]) if at < len(edge) else len(sub)
+        yield slice(begin, end)
+        begin = end
+
+
 def bucket_spans(sub: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, begin, end) of the removals among a bucket's contexts; places are counted in the contexts' texts."""
     cuts = np.concatenate([[0], np.cumsum(size)])
@@ -304,7 +412,16 @@ def bucket_spans(sub: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.n
     windows = size[heads] - LENGTH + 1
     owner = np.repeat(np.arange(len(heads)), windows)
     within = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = previous_factor(body, cuts[heads][owner] + within, ids[heads][owner])
+    places, id_of, sub_of = cuts[heads][owner] + within, ids[heads][owner], sub[heads][owner]
+    gone = np.zeros(len(places), bool)
+    if len(places) > SLICE:
+        key = words_at(body, places)[0]
+        order = np.lexsort((key, sub_of))
+        for part in slices(sub_of[order], key[order]):
+            at = order[part]
+            gone[at] = previous_factors(body, places[at], id_of[at]) >= LENGTH
+    else:
+        gone = previous_factors(body, places, id_of) >= LENGTH
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
     new_owner = np.concatenate([[False], owner[1:] != owner[:-1], [False]]) if len(owner) else np.zeros(1, bool)
     both = new_owner[:-1] & gone & np.concatenate([[False], gone[:-1]]) if len(gone) else np.zeros(0, bool)
@@ -356,33 +473,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["text_code", "kept", "n_removed", "n_spans"])
 
 
-def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None) -> DataFrame:
+def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(code, first_id, spans): what the distinct texts that lose bytes lose, each in its smallest id.
 
     base: text_code, id, text of all documents; first: text_code and its smallest id."""
-    spark = base.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if buckets is None:
         total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-total // BUCKET_BYTES))
     asked = base.select("text_code", "text").mapInArrow(_asking(buckets), ASKED)
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "text_code bigint, codes bigint")
-    shared = stored(answers.groupBy("text_code").agg(F.collect_list("codes").alias("codes")))
+    shared = stored(answers.groupBy("text_code").agg(F.collect_set("codes").alias("codes")))
     keyed = shared.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "codes")
     # an id beside the hash spreads the copies of one text
-    met = base.join(keyed.hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "id", "text", "codes")
-    sent = met.mapInArrow(_contexts(buckets), CONTEXTS)
+    met = base.join(keyed, (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "id", "text", "codes")
+    sent = met.mapInArrow(_contexts(buckets, hot_codes(shared, hot_texts)), CONTEXTS)
     spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_remove, "text_code bigint, spans bigint")
     by_text = spans.groupBy("text_code").agg(F.collect_list("spans").alias("spans"))
     return by_text.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "spans")
 
 
-def cut_texts(base: DataFrame, first: DataFrame) -> DataFrame:
+def hot_codes(shared: DataFrame, hot_texts: int) -> np.ndarray:
+    """The anchors that at least hot_texts texts share, ascending; at most HOT_ANCHORS of them, the most frequent."""
+    counts = shared.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_texts)
+    rows = counts.orderBy(F.desc("n"), "code").limit(HOT_ANCHORS).select("code").toArrow()
+    return np.sort(rows["code"].to_numpy())
+
+
+def cut_texts(base: DataFrame, first: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(text_code, kept, n_removed, n_spans) of the distinct texts that lose bytes.
 
     In one query with the search, so that the texts, dealt out for that, needn't be dealt out again."""
-    keyed = spans_of(base, first)
-    met = base.join(keyed.hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "text", "spans")
+    keyed = spans_of(base, first, hot_texts=hot_texts)
+    met = base.join(keyed, (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "text", "spans")
     return met.mapInArrow(_cut, "text_code bigint, kept binary, n_removed bigint, n_spans bigint")
 
 
@@ -392,7 +514,7 @@ def based(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     return base, stored(base.groupBy("text_code").agg(F.min("id").alias("first_id")))
 
 
-def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_texts: int = HOT_TEXTS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Equal texts are one: the copies of larger ids lose everything at once if they have LENGTH bytes, and only one of a text's
@@ -400,7 +522,7 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     from each other. An empty table gives no rows; further columns are ignored."""
     prepared(docs.sparkSession)
     base, first = based(docs, key, text)
-    cut = cut_texts(base.select("text_code", "id", "text"), first)
+    cut = cut_texts(base.select("text_code", "id", "text"), first, hot_texts)
     cut = cut.select("text_code", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256")).dropDuplicates(["text_code"])
     known = first.join(cut, "text_code", "left")
     light = base.select("doc_id", "id", "text_code", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
@@ -415,23 +537,25 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its text without what documents of smaller ids have. Of a character that is cut in part
-    the rest goes too; n_chars, where the table has it, follows the new text. A null text stays null.
+    the rest goes too; n_chars, where the table has it, follows the new text. A null text stays null, a null id counts as larger
+    than any other, rows that repeat an id take nothing from each other. An empty table gives no rows; columns of any name pass.
 
     Not texts but their spans meet the documents, and copies of a text come as one span over all of it."""
     prepared(spark)
     base, first = based(docs, "doc_id", "text")
-    spans = spans_of(base.select("text_code", "id", "text"), first).select("code", F.col("first_id").alias("at"), "spans")
+    found = spans_of(base.select("text_code", "id", "text"), first).select("code", F.col("first_id").alias("at"), "spans")
     copies = base.select("text_code", "id", F.octet_length("text").cast("long").alias("n")).where(f"n >= {LENGTH}").join(first, "text_code").where("id > first_id")
     copies = copies.select(F.col("text_code").alias("code"), F.col("id").alias("at"), F.array("n").alias("spans")).dropDuplicates(["code", "at"])
+    spans = stored(found.unionAll(copies))
+    discard(first)
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(
-        F.struct(*others).alias("row_key"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_code"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id")
-    )
-    met = rows.join(spans.unionAll(copies).hint("shuffle_hash"), (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("at")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row_key"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"))
+    rows = rows.withColumn("text_code", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = rows.join(spans, (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("at")), "left")
     kind = rows.schema["row_key"].dataType.simpleString()
     out = met.select("row_key", "text", "spans").mapInArrow(_rewrite, f"row_key {kind}, text string, cut boolean")
-    size = F.when(F.col("cut"), F.length("text")).otherwise(F.col("row_key.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
-    return out.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col("row_key")[c].alias(c) for c in docs.columns])
+    size = F.when(F.col("cut"), F.length("text")).otherwise(F.col("row_key").getField("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
+    return out.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col("row_key").getField(c).alias(c) for c in docs.columns])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
