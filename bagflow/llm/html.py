@@ -1,7 +1,8 @@
 """Operator 1: main text of web pages, with site template removal.
 
-Element subtrees are hashed, the hashes are counted by host in Spark, and subtrees found on many pages of a host are deleted as
-template. What an element is by its tag, role or class (menu, header, advert, comments and so on) is deleted on any page."""
+Every element's whole subtree, its tags and its text, is hashed as it stands on the page, the hashes are counted by host in Spark,
+and subtrees found on many pages of a host are deleted as template, the outermost first. What is no template but not the article by
+its tag, role or class (a menu, header, advert, comments and so on) is deleted as well, on any page."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import own, prepared, table
+from bagflow.llm.common import discard, own, prepared, stored, table
 
 #: A subtree is template where so many pages, and such a share of the pages, of one host have it.
 MIN_PAGES, MIN_SHARE = 5, 0.2
@@ -41,6 +42,12 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond reply replies disqus discussion related recommended pagination pager toolbar skip".split()
 )
+#: An article of this kind is a reader's comment.
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
+#: Beside a word of the above, these may stand in a name such as "comment-list" or "site-footer"; "notice-board" is another thing.
+BESIDE = frozenset(
+    "area bar bars block body bottom box btn button buttons center col column container content desktop entry fixed form global google group header heading holder icon icons inner item items label left link links list main mobile module outer page panel post posts primary region right row section secondary site slot small sticky sub text thread title top unit user wrap wrapper zone".split()
+)
 #: A class that says how a page is laid out, such as "with-sidebar", stands on what holds the article.
 LAYOUT = frozenset("has with no without layout page".split())
 #: Page or site headers; inside an article a header holds its title.
@@ -54,6 +61,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = re.compile(r"://([^/?#]*)")
 PARTS = re.compile(r"[-_]+")
+SIZE = re.compile(r"\d+(?:x\d+)?\Z")
 
 
 def host_of(url: str | None) -> str:
@@ -61,13 +69,23 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def named(value: str, words: frozenset) -> bool:
+    """Whether one of a class or id attribute's names is made of these words."""
+    for one in value.split():
+        parts = set(PARTS.split(one)) - {""}
+        if not parts & LAYOUT and (rest := parts - words) != parts and all(x in BESIDE or x in DROP_WORDS or x in DROP_OUTSIDE or SIZE.match(x) for x in rest):
+            return True
+    return False
+
+
 def dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NEVER:
+    if tag in NEVER and tag != "article":
         return False
     if tag in DROP_TAGS or tag == "header" and not in_article:
         return True
     if not attributes:
         return False
+    names = COMMENT_WORDS if tag == "article" else DROP_WORDS if in_article else DROP_WORDS | DROP_OUTSIDE
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = (values[0] or values[1] or values[2]).lower()
@@ -75,11 +93,8 @@ def dropped(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.strip() in DROP_ROLES:
             return True
-        if name in ("class", "id"):
-            for one in value.split():
-                parts = set(PARTS.split(one))
-                if not parts & LAYOUT and (parts & DROP_WORDS or not in_article and parts & DROP_OUTSIDE):
-                    return True
+        if name in ("class", "id") and named(value, names):
+            return True
     return False
 
 
@@ -98,95 +113,153 @@ def blocks_of(pieces: list[str | None]) -> list[str]:
     return out
 
 
-def subtree_hash(host: str, tag: str, pieces: list[str | None]) -> int | None:
-    """Of the host, the element's name and its blocks; None without text."""
-    blocks = blocks_of(pieces)
-    if not blocks:
-        return None
-    return int.from_bytes(hashlib.blake2b("\0".join([host, tag, *blocks]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+class Page:
+    """A page's elements in the order of the source.
 
+    events: text as a string, None for a break, the number of an element where it begins and its complement where it ends."""
 
-def read_page(html: str, host: str, template: Callable[[int], bool] | None) -> tuple[str, list[int]]:
-    """The main text, and the hashes of the subtrees that could be template.
-
-    A subtree whose hash `template` knows is deleted. The text is that of the articles; without one, of main; else of all."""
-    kept: list[list[str | None]] = [[], [], []]  # outside, in main, in an article
-    hashes: list[int] = []
-    stack: list[tuple] = []  # tag, region, whether it is skipped, where its pieces begin or None if it can't be template
-    region, skipped, at, size = 0, False, 0, len(html)
-
-    def close(n: int) -> None:
-        nonlocal region, skipped
-        while len(stack) > n:
-            tag, was_region, was_skipped, begin = stack.pop()
-            if not skipped and tag in BLOCK:
-                kept[region].append(None)
-            if begin is not None and not skipped:
-                code = subtree_hash(host, tag, kept[region][begin:])
-                if code is not None:
-                    hashes.append(code)
-                    if template and template(code):
-                        del kept[region][begin:]
-                        kept[region].append(None)
-            region, skipped = was_region, was_skipped
-
-    def close_upto(tags: frozenset, scope: frozenset) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                close(i)
-                return
-            if stack[i][0] in scope:
-                return
-
-    while at < size:
-        found = TOKEN.search(html, at)
-        if not skipped and (upto := found.start() if found else size) > at:
-            kept[region].append(html[at:upto])
-        if not found:
-            break
-        at = found.end()
-        tag = found[2] or found[5]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if found[1] or found[4]:
+    def __init__(self, html: str):
+        self.events: list[str | int | None] = []
+        self.tags: list[str] = []
+        self.attributes: list[str] = []
+        self.ends: list[int] = []
+        self.begins: list[int] = []
+        self.read(html)
+
+    def read(self, html: str) -> None:
+        events, stack = self.events, []
+
+        def close(n: int) -> None:
+            while len(stack) > n:
+                node = stack.pop()
+                self.ends[node] = len(events)
+                events.append(~node)
+
+        def close_upto(tags: frozenset, scope: frozenset) -> None:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                tag = self.tags[stack[i]]
+                if tag in tags:
                     close(i)
-                    break
-                if tag in FORMATTING and stack[i][0] in BLOCK:
-                    break
+                    return
+                if tag in scope:
+                    return
+
+        at, size = 0, len(html)
+        while at < size:
+            found = TOKEN.search(html, at)
+            if (upto := found.start() if found else size) > at:
+                events.append(html[at:upto])
+            if not found:
+                break
+            at = found.end()
+            tag = found[2] or found[5]
+            if not tag:
+                continue
+            tag = tag.lower()
+            if found[1] or found[4]:
+                for i in range(len(stack) - 1, -1, -1):
+                    open_tag = self.tags[stack[i]]
+                    if open_tag == tag:
+                        close(i)
+                        break
+                    if tag in FORMATTING and open_tag in BLOCK:
+                        break
+                else:
+                    if tag in BLOCK:
+                        events.append(None)
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
+                at = end.end() if end else size
+                continue
+            if tag in ENDS_P:
+                close_upto(frozenset(("p",)), P_SCOPE)
+            if tag in CLOSES:
+                close_upto(*CLOSES[tag])
+            if tag in VOID:
+                events.append(None if tag in BLOCK else " " if tag in ("br", "wbr") else "")
+                continue
+            node = len(self.tags)
+            self.tags.append(tag)
+            self.attributes.append((found[3] if found[2] else found[6]) or "")
+            self.begins.append(len(events))
+            self.ends.append(-1)
+            stack.append(node)
+            events.append(node)
+        close(0)
+
+    def codes(self, host: str) -> dict[int, int]:
+        """A hash of the host and of the whole subtree for every element that could be template and holds text.
+
+        Subtrees are compared by their tags and their text without regard to white space and attributes."""
+        said, filled, in_article, inside = [], [0], [], 0
+        for event in self.events:
+            words = 0
+            if isinstance(event, str):
+                text = " ".join(event.split())
+                said.append(text)
+                words = bool(text)
+            elif event is None:
+                said.append("<>")
+            elif event >= 0:
+                in_article.append(inside > 0)
+                inside += self.tags[event] == "article"
+                said.append("<" + self.tags[event])
             else:
-                if not skipped and tag in BLOCK:
+                inside -= self.tags[~event] == "article"
+                said.append(">")
+            filled.append(filled[-1] + words)
+        out = {}
+        for node, tag in enumerate(self.tags):
+            if tag not in BLOCK or tag in NEVER or in_article[node] and tag in PROSE:
+                continue
+            a, b = self.begins[node], self.ends[node]
+            if filled[b] > filled[a]:
+                whole = "\0".join([host, *said[a:b]]).encode("utf-8", "surrogatepass")
+                out[node] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
+        return out
+
+    def text(self, template: set[int]) -> str:
+        """The main text without the elements in `template`: that of the articles; without one, of main; else of all."""
+        kept: list[list[str | None]] = [[], [], []]  # outside, in main, in an article
+        region, regions = 0, []
+        skip = -1  # the element that is being left out
+        for event in self.events:
+            if isinstance(event, str) or event is None:
+                if skip < 0:
+                    kept[region].append(event)
+                continue
+            if event < 0:
+                if skip >= 0:
+                    if skip == ~event:
+                        skip = -1
+                    continue
+                if self.tags[~event] in BLOCK:
                     kept[region].append(None)
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else size
-            continue
-        if tag in ENDS_P:
-            close_upto(frozenset(("p",)), P_SCOPE)
-        if tag in CLOSES:
-            close_upto(*CLOSES[tag])
-        if tag in VOID:
-            if not skipped:
-                kept[region].append(None if tag in BLOCK else " " if tag in ("br", "wbr") else "")
-            continue
-        attributes = (found[3] if found[2] else found[6]) or ""
-        inner = 2 if tag == "article" else max(region, 1) if tag == "main" or 'role="main"' in attributes else region
-        skip = skipped or dropped(tag, attributes, region == 2)
-        stack.append((tag, region, skipped, None))
-        if not skip:
+                region = regions.pop()
+                continue
+            if skip >= 0:
+                continue
+            tag, attributes = self.tags[event], self.attributes[event]
+            if event in template or dropped(tag, attributes, region == 2):
+                skip = event
+                kept[region].append(None if tag in BLOCK else "")
+                continue
             if tag in BLOCK:
                 kept[region].append(None)
-            could = tag in BLOCK and tag not in NEVER and not (region == 2 and tag in PROSE)
-            stack[-1] = (tag, region, skipped, len(kept[inner]) if could and inner == region else None)
-        region, skipped = inner, skip
-    close(0)
-    for pieces in reversed(kept):
-        if blocks := blocks_of(pieces):
-            return " ".join(blocks), hashes
-    return "", hashes
+            regions.append(region)
+            region = 2 if tag == "article" else max(region, 1) if tag == "main" or 'role="main"' in attributes else region
+        for pieces in reversed(kept):
+            if blocks := blocks_of(pieces):
+                return " ".join(blocks)
+        return ""
+
+
+def read_page(html: str, host: str, template: Callable[[int], bool] | None) -> tuple[str, list[int]]:
+    """The main text, and the hashes of the subtrees that could be template; those that `template` knows are left out."""
+    page = Page(html)
+    codes = page.codes(host)
+    return page.text({node for node, code in codes.items() if template(code)} if template else set()), list(codes.values())
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +269,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             keys.append(key)
             hosts.append(host)
-            codes.append(sorted(set(read_page(html or "", host, None)[1])))
+            codes.append(sorted(set(Page(html or "").codes(host).values())))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(codes, pa.list_(pa.int64()))], ["row_key", "host", "codes"])
 
 
@@ -210,7 +283,9 @@ def _extractor(sent: np.ndarray | None) -> Callable:
             codes = batch.column(3).to_pylist() if sent is None else [None] * batch.num_rows
             for url, html, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), codes, strict=True):
                 known = everywhere if sent is not None else frozenset(mine or ())
-                texts.append(read_page(html or "", host_of(url), known.__contains__ if known else None)[0])
+                page = Page(html or "")
+                gone = {node for node, code in page.codes(host_of(url)).items() if code in known} if known else set()
+                texts.append(page.text(gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return extract
@@ -234,10 +309,12 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     # the host's size is wanted beside its hashes: a row of its own with no hash
     sizes = own(base, host=F.coalesce(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = each.groupBy("host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
-    template = counts.join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("code").distinct().checkpoint()
+    template = counts.join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("code").distinct()
+    template = stored(template)
     schema = "page_id bigint, url string, text string, n_chars bigint"
     if template.count() <= sent_hashes:
         sent = np.array([r[0] for r in template.collect()], np.int64)
+        discard(template)
         return base.mapInArrow(_extractor(sent), schema)
     mine = each.join(template, "code").groupBy("row_key").agg(F.collect_set("code").alias("codes"))
     return keyed.join(mine, "row_key", "left").select("page_id", "url", "html", "codes").mapInArrow(_extractor(None), schema)
