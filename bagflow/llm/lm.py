@@ -1,8 +1,13 @@
 """Operator 8: scores of texts by a context-tree weighting model of bytes, beside a word-count baseline.
 
-A byte is eight binary decisions. Each decision has a Krichevsky-Trofimov estimate in its context of no, one and two preceding
-bytes; the weights of the depths follow from how well each depth has coded the training texts. All counts come from the
-corpus by partial sums; the tree they make is bounded by the alphabet (65,536 contexts), so it can be sent to every task."""
+A byte is eight binary decisions. Each decision has a Krichevsky-Trofimov estimate in every context of no to DEPTH preceding bytes that
+the training texts have; the weights of the depths follow from how well each has coded them. A context that was never seen has no
+say: there the deepest seen one stands alone.
+
+The tree grows with the corpus and is never in one place. Its keys (DEPTH bytes of context, nearest first, and the coded byte) are
+dealt by the two nearest bytes, so that a bucket has whole subtrees; only the 65,536 decisions of the two upper depths come to the
+driver. Documents are dealt into blocks of bounded bytes. A block asks each bucket once for the distinct keys it needs, and the
+answers come back to it; words are counted and asked for in the same way."""
 
 from __future__ import annotations
 
@@ -12,78 +17,136 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import LOWER, chunked, own, prepared, span_hashes, table, utf8, words
+from bagflow.llm.common import LOWER, chunked, mix, prepared, span_hashes, stored, table, utf8, words
 
 #: Documents whose crc32 of the id has this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
-#: Most frequent words whose counts every task knows, at most; rarer words meet their counts in a join.
-FREQUENT = 200_000
+#: Bytes of context, and those of them that name a bucket.
+DEPTH, TOP = 6, 2
+#: Text bytes of a block of documents, those that a bucket of keys stands for, and blocks that one copy of a bucket answers.
+BLOCK_BYTES, BUCKET_BYTES, BLOCKS_OF_COPY = 16 << 20, 8 << 20, 2000
+#: Text bytes whose keys are sorted at once.
+SORTED_BYTES = 4 << 20
 #: Distinct keys a counting task holds before it hands partial counts on.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 2_000_000
 #: Never a byte of UTF-8: stands before a text and, coded as its last symbol, after it.
 EDGE = 255
 
-_WORD, _GRAM, _END = 0, 1, 2
+_WORD, _GRAM = 0, 1
+_LOG2 = math.log(2)
+
+
+# Keys.
 
 
-def padded(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (two bytes before, byte) of all coded symbols in a row, whether each place is coded, and each text's first place."""
+def grams(body: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all coded symbols of some texts, each text's bytes and its end, and the first key of each text."""
     texts = len(bounds) - 1
     row = np.repeat(np.arange(texts), np.diff(bounds))
-    symbols = np.full(len(body) + 3 * texts, EDGE, np.int32)
-    symbols[np.arange(len(body)) + 3 * row + 2] = LOWER[body]
-    first = bounds[:-1] + 3 * np.arange(texts)
-    coded = np.ones(len(symbols), bool)
-    coded[first] = coded[first + 1] = False
-    keys = symbols.copy()
-    keys[1:] |= symbols[:-1] << 8
-    keys[2:] |= symbols[:-2] << 16
-    return keys, coded, first
-
-
-class Tally:
-    """Counts of 64-bit keys in sorted arrays; hands them on when they become many."""
-
-    def __init__(self, kind: int):
-        self.kind, self.parts, self.waiting = kind, [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((keys.astype(np.int64, copy=False), counts))
-        self.waiting += len(keys)
-        if self.waiting > 2 * HELD_KEYS:
-            yield from self.settle(HELD_KEYS)
-
-    def settle(self, most: int) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
-        keys, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, counts, len(keys)).astype(np.int64)
-        self.parts, self.waiting = [(keys, counts)], len(keys)
-        if len(keys) > most:
-            self.parts, self.waiting = [], 0
-            for i in range(0, len(keys), 100_000):
-                k, c = keys[i : i + 100_000], counts[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), self.kind, np.int32)), pa.array(k), pa.array(c)], ["kind", "key", "n"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tallies = {kind: Tally(kind) for kind in (_WORD, _GRAM, _END)}
-    for batch in batches:
-        body, bounds = utf8(batch.column(0))
-        yield from tallies[_END].add(np.zeros(1, np.int64), np.array([batch.num_rows]))
-        for _, _, part, cuts in chunked(body, bounds):
-            starts, ends, _ = words(part, cuts)
-            yield from tallies[_WORD].add(*(x.view(np.int64) for x in np.unique(span_hashes(LOWER[part], starts, ends), return_counts=True)))
-            keys, coded, _ = padded(part, cuts)
-            yield from tallies[_GRAM].add(*np.unique(keys[coded], return_counts=True))
-    for tally in tallies.values():
-        yield from tally.settle(-1)
+    symbols = np.full(len(body) + (depth + 1) * texts, EDGE, np.uint64)
+    symbols[np.arange(len(body)) + (depth + 1) * row + depth] = LOWER[body]
+    size = len(symbols) - depth
+    keys = np.zeros(max(size, 0), np.uint64)
+    for back in range(1, depth + 1):
+        keys = (keys << np.uint64(8)) | symbols[depth - back : depth - back + size]
+    keys = (keys << np.uint64(8)) | symbols[depth:]
+    length = np.diff(bounds) + 1
+    first = np.cumsum(length) - length
+    return keys[np.arange(int(length.sum())) + depth * np.repeat(np.arange(texts), length)], first
+
+
+def word_keys(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the text of each."""
+    starts, ends, row = words(body, bounds)
+    return span_hashes(LOWER[body], starts, ends), row
+
+
+def bucket_of(kind: int, keys: np.ndarray, buckets: int, depth: int) -> np.ndarray:
+    near = keys >> np.uint64(8 * (depth + 1 - TOP)) if kind == _GRAM else keys
+    return (mix(near) % np.uint64(buckets)).astype(np.int32)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by their bytes, all first bytes first: of ascending numbers most bytes repeat, which compresses well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def dealt(keys: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of ascending keys by bucket, ascending in both."""
+    order = np.argsort(which, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False):
+        yield int(which[order[a]]), order[a:b]
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+# Counts.
+
+COUNTED = "bucket int, kind int, keys binary, counts binary"
+MERGED = "bucket int, kind int, keys binary, counts binary, total bigint, distinct bigint"
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
+
+
+def _count(buckets: int, depth: int) -> Callable:
+    """Keys of all texts with their counts in those that are learnt from, by bucket."""
+
+    def handed(kind: int, parts: list) -> Iterator[pa.RecordBatch]:
+        keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        for bucket, at in dealt(keys, bucket_of(kind, keys, buckets, depth)):
+            yield _rows(bucket=pa.array([bucket], pa.int32()), kind=pa.array([kind], pa.int32()), keys=[packed(keys[at])], counts=[packed(counts[at].astype(np.uint32))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {_WORD: [], _GRAM: []}
+        for batch in batches:
+            learns = batch.column(0).to_numpy(zero_copy_only=False)
+            body, bounds = utf8(batch.column(1))
+            for first, last, part, cuts in chunked(body, bounds, SORTED_BYTES):
+                mine = learns[first:last]
+                gram, begin = grams(part, cuts, depth)
+                word, row = word_keys(part, cuts)
+                of_gram = np.repeat(mine, np.diff(np.append(begin, len(gram))))
+                for kind, keys, flag in ((_WORD, word, mine[row]), (_GRAM, gram, of_gram)):
+                    for value in (True, False):
+                        some, counts = np.unique(keys[flag == value], return_counts=True)
+                        held[kind].append((some, counts if value else np.zeros(len(some), np.int64)))
+                    if sum(len(k) for k, _ in held[kind]) > HELD_KEYS:
+                        held[kind] = [summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
+                        if len(held[kind][0][0]) > HELD_KEYS // 2:
+                            yield from handed(kind, held[kind])
+                            held[kind] = []
+        for kind, parts in held.items():
+            if parts:
+                yield from handed(kind, parts)
+
+    return count
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    keys = np.concatenate([unpacked(x, np.uint64) for x in group["keys"].to_pylist()])
+    counts = np.concatenate([unpacked(x, np.uint32) for x in group["counts"].to_pylist()]).astype(np.int64)
+    keys, counts = summed(keys, counts)
+    return pa.Table.from_batches([_rows(bucket=group["bucket"].chunk(0)[:1], kind=group["kind"].chunk(0)[:1], keys=[packed(keys)], counts=[packed(counts)], total=pa.array([int(counts.sum())], pa.int64()), distinct=pa.array([int((counts > 0).sum())], pa.int64()))])
+
+
+# The tree.
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -95,167 +158,263 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (up - 0.5) * np.log(up) - up + 0.5 * math.log(2 * math.pi) + 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - np.log(product)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 255 binary decisions behind counts of the 256 bytes, in heap order from 1."""
-    zeros, ones = np.zeros((len(counts), 256)), np.zeros((len(counts), 256))
-    for level in range(8):
-        halves = counts.reshape(len(counts), 2 ** (level + 1), 2 ** (7 - level)).sum(2)
-        zeros[:, 2**level : 2 ** (level + 1)] = halves[:, 0::2]
-        ones[:, 2**level : 2 ** (level + 1)] = halves[:, 1::2]
-    return zeros, ones
+def estimate(one: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Log probability that the KT estimator gives to so many ones among all bits."""
+    return log_gamma(total - one + 0.5) + log_gamma(one + 0.5) - log_gamma(total + 1.0) - math.log(math.pi)
 
 
-def estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """KT probability of a one, and log probability the KT estimator gave to all that was counted."""
-    zeros, ones = decisions(counts)
-    return (ones + 0.5) / (zeros + ones + 1), log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
+class Depth:
+    """The contexts of one depth: ascending entries (context, symbol) with counts.
 
+    An entry has a bit in eight decisions. Those of one context and one beginning of the symbol make a run of entries."""
 
-def byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 probability of the 256 bytes from the probabilities of a one at each decision."""
-    with np.errstate(divide="ignore"):
-        logs = np.zeros((len(ones), 1))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        self.run, self.first, self.total, self.one = [], [], [], []
         for level in range(8):
-            one = ones[:, 2**level : 2 ** (level + 1)]
-            logs = np.stack([logs + np.log10(1 - one), logs + np.log10(one)], axis=2).reshape(len(ones), -1)
-    return logs
-
-
-def context_tree(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of every two-byte context, log10 probability of each byte by row) from counts of (two bytes before, byte).
-
-    A node's weighted probability is half its own estimate's and half the product of its children's. Contexts that were not
-    seen have a row for each last byte."""
-    contexts, at = np.unique(keys >> 8, return_inverse=True)
-    two = np.zeros((len(contexts), 256))
-    np.add.at(two, (at, keys & 255), counts)
-    last = contexts & 255
-    one = np.zeros((256, 256))
-    np.add.at(one, last, two)
-    p2, log2 = estimates(two)
-    p1, log1 = estimates(one)
-    p0, log0 = estimates(one.sum(0, keepdims=True))
-    below = np.zeros_like(log1)
-    np.add.at(below, last, log2)
-    weighted1 = np.logaddexp(log1, below) - math.log(2)
-    w1 = np.exp(log1 - math.log(2) - weighted1)
-    below0 = weighted1.sum(0, keepdims=True)
-    w0 = np.exp(log0 - np.logaddexp(log0, below0))
-    rows = np.concatenate([w1[last] * p1[last] + (1 - w1[last]) * p2, w1 * p1 + (1 - w1) * 0.5])
-    logs = byte_logs(w0 * p0 + (1 - w0) * rows)
-    row_of = np.tile(np.arange(256, dtype=np.int32) + len(contexts), 256)
-    row_of[contexts] = np.arange(len(contexts), dtype=np.int32)
-    return row_of, logs
+            head = keys >> np.uint64(8 - level)
+            first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+            self.first.append(first)
+            self.run.append(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys)))))
+            self.total.append(np.add.reduceat(counts, first))
+            self.one.append(np.add.reduceat(counts * self.bit(level), first))
+
+    def bit(self, level: int) -> np.ndarray:
+        return (self.keys >> np.uint64(7 - level)) & np.uint64(1)
+
+    def predicted(self, level: int) -> np.ndarray:
+        """The KT probability of each entry's own bit."""
+        one, total = self.one[level][self.run[level]], self.total[level][self.run[level]]
+        return (np.where(self.bit(level) == 1, one, total - one) + 0.5) / (total + 1)
+
+
+class Tree:
+    """Whole subtrees below contexts of TOP bytes, from distinct ascending keys and their counts (0: only to be scored)."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        self.depth, self.depths, self.parents = depth, {depth: Depth(keys, counts.astype(np.float64))}, {}
+        for d in range(depth, TOP, -1):
+            at = self.depths[d]
+            shorter, self.parents[d] = np.unique((at.keys >> np.uint64(16) << np.uint64(8)) | (at.keys & np.uint64(255)), return_inverse=True)
+            self.depths[d - 1] = Depth(shorter, np.bincount(self.parents[d], at.counts, len(shorter)))
+        # weighted probabilities from below: half the own estimate and half the product of the children's
+        self.own: dict[int, list] = {}
+        below: list = []
+        for d in range(depth, TOP - 1, -1):
+            at, self.own[d], up = self.depths[d], [], []
+            for level in range(8):
+                weighted = alone = estimate(at.one[level], at.total[level])
+                if d < depth:
+                    weighted = np.logaddexp(alone, below[level]) - _LOG2
+                    self.own[d].append(np.exp(alone - _LOG2 - weighted))
+                if d > TOP:
+                    above = self.depths[d - 1]
+                    up.append(np.bincount(above.run[level][self.parents[d][at.first[level]]], weighted, len(above.first[level])))
+                else:
+                    up.append(weighted)
+            below = up
+        #: log weighted probabilities of the decisions in contexts of TOP bytes, by level
+        self.weighted = below
+
+    def mixed(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each key the probability of its bit by all depths from TOP on, and whether its context of TOP bytes was seen."""
+        at = self.depths[self.depth]
+        out, seen = at.predicted(level), at.total[level][at.run[level]] > 0
+        place = np.arange(len(at.keys))
+        for d in range(self.depth - 1, TOP - 1, -1):
+            place = self.parents[d + 1][place]
+            at = self.depths[d]
+            kt, run = at.predicted(level)[place], at.run[level][place]
+            w = self.own[d][level][run]
+            out, seen = np.where(seen, w * kt + (1 - w) * out, kt), at.total[level][run] > 0
+        return out, seen
+
+
+def _upper(depth: int) -> Callable:
+    """(last, node, below, one, total): the decisions in contexts of one byte, from a bucket's contexts of TOP bytes."""
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tree = Tree(unpacked(keys, np.uint64), unpacked(counts, np.int64), depth)
+                top = tree.depths[TOP]
+                for level in range(8):
+                    some = top.keys[top.first[level]]
+                    node = (1 << level) | ((some & np.uint64(255)) >> np.uint64(8 - level)).astype(np.int64)
+                    place = (some >> np.uint64(16)).astype(np.int64) << 8 | node
+                    which, at = np.unique(place, return_inverse=True)
+                    sums = [np.bincount(at, x, len(which)) for x in (tree.weighted[level], top.one[level], top.total[level])]
+                    yield _rows(place=which, below=sums[0], one=sums[1], total=sums[2])
+
+    return upper
 
 
 @dataclass
-class Model:
-    """What was learnt: the word counts as a table, the most frequent of them as arrays, their sums, and the tree's table."""
+class Upper:
+    """Depths 0 and 1 by (last byte, decision in heap order): counts of ones and of all, and the weight of the own estimate."""
+
+    one: np.ndarray
+    total: np.ndarray
+    own: np.ndarray
+    own_root: np.ndarray
+
+    def mixed(self, last: np.ndarray, node: np.ndarray, bit: np.ndarray, deeper: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        one, total = self.one[last, node], self.total[last, node]
+        kt, w = (np.where(bit == 1, one, total - one) + 0.5) / (total + 1), self.own[last, node]
+        out, seen = np.where(seen, w * kt + (1 - w) * deeper, kt), total > 0
+        one, total = self.one.sum(0)[node], self.total.sum(0)[node]
+        kt, w = (np.where(bit == 1, one, total - one) + 0.5) / (total + 1), self.own_root[node]
+        return np.where(seen, w * kt + (1 - w) * out, kt)
+
+
+def upper_of(merged: DataFrame, depth: int) -> Upper:
+    """The two upper depths; what comes to the driver is bounded by the alphabet: 256 bytes with 255 decisions each."""
+    rows = merged.where(F.col("kind") == _GRAM).select("keys", "counts").mapInArrow(_upper(depth), "place bigint, below double, one double, total double")
+    got = rows.groupBy("place").agg(F.sum("below").alias("below"), F.sum("one").alias("one"), F.sum("total").alias("total")).toArrow()
+    below, one, total = (np.zeros((256, 256)) for _ in range(3))
+    for name, to in (("below", below), ("one", one), ("total", total)):
+        to.reshape(-1)[got["place"].to_numpy()] = got[name].to_numpy()
+    alone = estimate(one, total)
+    weighted = np.logaddexp(alone, below) - _LOG2
+    root = estimate(one.sum(0), total.sum(0))
+    return Upper(one, total, np.exp(alone - _LOG2 - weighted), np.exp(root - np.logaddexp(root, weighted.sum(0))))
+
+
+def log_scores(keys: np.ndarray, counts: np.ndarray, upper: Upper, depth: int) -> np.ndarray:
+    """log10 probability of each key's symbol in its context, from a bucket's keys and the upper depths."""
+    tree = Tree(keys, counts, depth)
+    last, symbol = (keys >> np.uint64(8 * depth)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
+    out = np.zeros(len(keys))
+    for level in range(8):
+        node, bit = (1 << level) | (symbol >> (8 - level)), symbol >> (7 - level) & 1
+        out += np.log10(upper.mixed(last, node, bit, *tree.mixed(level)))
+    return out
+
+
+# Questions and answers.
+
+ASKED = "bucket int, block bigint, kind int, keys binary"
+ANSWERED = "block bigint, bucket int, kind int, found binary"
+
+
+def distinct_keys(texts: pa.Table, depth: int) -> dict[int, np.ndarray]:
+    """All distinct keys of a block of texts by kind, ascending."""
+    found: dict[int, list] = {_WORD: [], _GRAM: []}
+    for body, bounds in columns_of(texts):
+        for _, _, part, cuts in chunked(body, bounds, SORTED_BYTES):
+            found[_GRAM].append(np.unique(grams(part, cuts, depth)[0]))
+            found[_WORD].append(np.unique(word_keys(part, cuts)[0]))
+    return {kind: np.unique(np.concatenate(parts)) for kind, parts in found.items()}
+
+
+def columns_of(texts: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for chunk in texts["text"].chunks:
+        yield utf8(chunk)
+
+
+def _ask(buckets: int, depth: int) -> Callable:
+    def ask(texts: pa.Table) -> pa.Table:
+        block = texts["block"][0].as_py()
+        out = []
+        for kind, keys in distinct_keys(texts, depth).items():
+            out += [(bucket, block, kind, packed(keys[at])) for bucket, at in dealt(keys, bucket_of(kind, keys, buckets, depth))]
+        columns = list(zip(*out, strict=True))
+        return pa.Table.from_batches([_rows(bucket=pa.array(columns[0], pa.int32()), block=pa.array(columns[1], pa.int64()), kind=pa.array(columns[2], pa.int32()), keys=pa.array(columns[3], pa.binary()))])
+
+    return ask
+
+
+def _answer(upper, depth: int) -> Callable:
+    """A bucket's counts against what blocks ask: for words their counts, for grams their log probabilities."""
+
+    def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
+        known = {}
+        if asked.num_rows:
+            for kind, keys, counts in zip(model["kind"].to_pylist(), model["keys"].to_pylist(), model["counts"].to_pylist(), strict=True):
+                keys, counts = unpacked(keys, np.uint64), unpacked(counts, np.int64)
+                known[kind] = keys, counts if kind == _WORD else log_scores(keys, counts, upper.value, depth).astype(np.float32)
+        found = []
+        for kind, asked_keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            keys, values = known[kind]
+            wanted = unpacked(asked_keys, np.uint64)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            if not (keys[at] == wanted).all():
+                raise ValueError("a block asks for keys that were not counted: the documents changed between two reads")
+            found.append(packed(values[at]))
+        return pa.Table.from_arrays([asked["block"], asked["bucket"], asked["kind"], pa.array(found, pa.binary())], ["block", "bucket", "kind", "found"])
+
+    return answer
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+
+
+def _score(buckets: int, depth: int) -> Callable:
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = distinct_keys(texts, depth)
+        values = {_WORD: np.zeros(len(keys[_WORD]), np.int64), _GRAM: np.zeros(len(keys[_GRAM]))}
+        places = {kind: dict(dealt(some, bucket_of(kind, some, buckets, depth))) for kind, some in keys.items()}
+        for bucket, kind, found in zip(*(answers[c].to_pylist() for c in ("bucket", "kind", "found")), strict=True):
+            values[kind][places[kind][bucket]] = unpacked(found, np.int64 if kind == _WORD else np.float32)
+        del places, answers
+        gain = np.log10(values[_WORD] + 1.0)
+        n_tokens, known, base, scores = [], [], [], []
+        for body, bounds in columns_of(texts):
+            for first, last, part, cuts in chunked(body, bounds, SORTED_BYTES):
+                n = last - first
+                gram, begin = grams(part, cuts, depth)
+                some, at = np.unique(gram, return_inverse=True)
+                value = values[_GRAM][np.searchsorted(keys[_GRAM], some)][at]
+                scores.append(np.add.reduceat(value, begin))
+                word, row = word_keys(part, cuts)
+                at = np.searchsorted(keys[_WORD], word)
+                n_tokens.append(np.bincount(row, minlength=n) + 1)
+                known.append(np.bincount(row[values[_WORD][at] > 0], minlength=n))
+                base.append(np.bincount(row, gain[at], n))
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, known, base, scores)]
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+        return pa.Table.from_arrays([texts["doc_id"], texts["held_out"], *arrays], [x.split()[0] for x in SCORED.split(", ")])
 
-    counts: DataFrame
-    frequent: np.ndarray
-    frequent_n: np.ndarray
-    ends: int
-    tokens: int
-    distinct: int
-    row_of: np.ndarray
-    logs: np.ndarray
+    return score
 
 
 def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def learn(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Model:
-    """Counts words and bytes in context over all the given texts. To the driver come at most `frequent` words and the byte
-    contexts, whose number the alphabet bounds (at most 256 ** 3 keys; some hundred thousand in practice)."""
-    prepared(docs.sparkSession)
-    partial = own(docs, text=text).mapInArrow(_count, "kind int, key bigint, n bigint")
-    counts = partial.groupBy("kind", "key").agg(F.sum("n").alias("n")).checkpoint()
-    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()}
-    ends = sums[_END]["n"] if _END in sums else 0
-    tokens = ends + (sums[_WORD]["n"] if _WORD in sums else 0)
-    distinct = (1 if ends else 0) + (sums[_WORD]["distinct"] if _WORD in sums else 0)
-    by_word = counts.where(F.col("kind") == _WORD).select("key", "n")
-    # eighths of a power of two: some hundred rows say from which count on words are few enough to send
-    steps = by_word.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
-    least, total = 1 << 62, 0
-    for step in steps:
-        total += step["words"]
-        if total > frequent:
-            break
-        least = step["least"]
-    top = by_word.where(F.col("n") >= least).toArrow().sort_by("key")
-    grams = counts.where(F.col("kind") == _GRAM).select("key", "n").toArrow()
-    row_of, logs = context_tree(grams["key"].to_numpy(), grams["n"].to_numpy().astype(np.float64))
-    return Model(by_word.where(F.col("n") < least), top["key"].to_numpy(), top["n"].to_numpy(), ends, tokens, distinct, row_of, logs.astype(np.float32))
-
-
-def _scorer(shared) -> Callable:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, frequent_n, row_of, logs = shared.value
-        gain = np.log10(frequent_n + 1.0)
-        flat = logs.reshape(-1)
-        place = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            body, bounds = utf8(batch.column(2))
-            for first, last, part, cuts in chunked(body, bounds):
-                texts = last - first
-                starts, ends, row = words(part, cuts)
-                hashes = span_hashes(LOWER[part], starts, ends).view(np.int64)
-                at = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
-                hit = frequent[at] == hashes if len(frequent) else np.zeros(len(hashes), bool)
-                base = np.bincount(row[hit], gain[at[hit]], texts) if hit.any() else np.zeros(texts)
-                known = np.bincount(row[hit], minlength=texts)
-                keys, coded, begin = padded(part, cuts)
-                value = flat[(row_of[keys >> 8].astype(np.int64) << 8) | (keys & 255)].astype(np.float64)
-                value[~coded] = 0
-                scores = np.add.reduceat(value, begin)
-                ids = place + np.arange(texts)
-                place += texts
-                n = texts
-                yield _rows(n, row_id=ids, kind=np.ones(n, np.int32), key=ids, doc_id=batch.column(0).slice(first, n), held_out=batch.column(1).slice(first, n), n_tokens=np.bincount(row, minlength=texts) + 1, cnt=np.zeros(n, np.int64), base=base, known=known, score=scores)
-                rare = np.stack([row[~hit], hashes[~hit]], 1)
-                if len(rare):
-                    order = np.lexsort((rare[:, 1], rare[:, 0]))
-                    rare = rare[order]
-                    new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]).any(1)]))
-                    n = len(new)
-                    yield _rows(n, row_id=ids[rare[new, 0]], kind=np.zeros(n, np.int32), key=rare[new, 1], doc_id=pa.nulls(n, pa.int64()), held_out=pa.nulls(n, pa.bool_()), n_tokens=np.zeros(n, np.int64), cnt=np.diff(new, append=len(rare)), base=np.zeros(n), known=np.zeros(n, np.int64), score=np.zeros(n))
-
-    return score
-
-
-SCORED = "row_id bigint, kind int, key bigint, doc_id bigint, held_out boolean, n_tokens bigint, cnt bigint, base double, known bigint, score double"
-
-
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
-
-
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with its counts and both scores.
+def scored(docs: DataFrame, learns: Column | None = None, key: str = "doc_id", text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """One row per document: doc_id, held_out (not learnt from), n_tokens, n_known, train_tokens, base_score, score.
 
-    One Python pass gives a row per document and a row for each of its words that are not frequent; those meet their counts
-    in a join by word, for which no word is hot, and all come together by document in sums that are partial before the
-    shuffle. Null or empty text: one token, the end. Repeated rows stay apart by their place in the input."""
+    The rows where `learns` holds (by default those not held out) are the training texts. Null or empty text: one token, the end.
+    Repeated rows stay apart; nothing learnt gives finite scores too; an empty table gives no rows; further columns are ignored.
+    Counts are summed in each task before they are shuffled. Blocks deal documents by hash and place, so neither copies nor null
+    ids fill one. A bucket that very many blocks ask stands in copies, each for some of the blocks."""
     spark = prepared(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((model.frequent, model.frequent_n, model.row_of, model.logs))
-    rows = own(docs, doc_id=F.col(key).cast("long"), held_out=held_out(key), text=text).mapInArrow(_scorer(shared), SCORED)
-    counts = model.counts.select(F.lit(_WORD).alias("kind"), "key", F.col("n").alias("c"))
-    met = rows.join(counts, ["kind", "key"], "left")
-    base = F.sum(F.col("base") + F.when(F.col("kind") == _WORD, F.col("cnt") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).otherwise(0.0))
-    known = F.sum(F.col("known") + F.when((F.col("kind") == _WORD) & F.col("c").isNotNull(), F.col("cnt")).otherwise(0))
-    end = 1 if model.tokens else 0
-    total = met.groupBy("row_id").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), known.alias("known"), base.alias("base"), F.sum("score").alias("score")
-    )
-    return total.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + end).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(math.log10(model.ends + 1)) - F.col("n_tokens") * F.lit(math.log10(model.tokens + model.distinct + 1))).alias("base_score"), "score",
+    learns = ~held_out(key) if learns is None else learns
+    base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), F.col(f"`{text}`").alias("text"))
+    seen = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("learns").cast("long")).alias("ends")).first()
+    total, ends = seen["bytes"] or 0, seen["ends"] or 0
+    buckets = min(1 << 16, max(8, -(-total // bucket_bytes)))
+    blocks = max(1, -(-total // block_bytes))
+    copies = -(-blocks // BLOCKS_OF_COPY)
+
+    counted = base.select("learns", "text").mapInArrow(_count(buckets, depth), COUNTED)
+    merged = stored(counted.groupBy("bucket", "kind").applyInArrow(_merge, MERGED))
+    of_words = merged.where(F.col("kind") == _WORD).agg(F.sum("total").alias("n"), F.sum("distinct").alias("distinct")).first()
+    tokens, distinct = ends + (of_words["n"] or 0), (1 if ends else 0) + (of_words["distinct"] or 0)
+    upper = spark.sparkContext.broadcast(upper_of(merged, depth))
+
+    block = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks))
+    dealt_texts = base.select(block.alias("block"), "doc_id", (~F.col("learns")).alias("held_out"), "text").repartition("block")
+    asked = dealt_texts.groupBy("block").applyInArrow(_ask(buckets, depth), ASKED).withColumn("copy", F.pmod("block", F.lit(copies)).cast("int"))
+    model = merged.select("bucket", "kind", "keys", "counts").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    answers = model.groupBy("bucket", "copy").cogroup(asked.groupBy("bucket", "copy")).applyInArrow(_answer(upper, depth), ANSWERED)
+    got = dealt_texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, depth), SCORED)
+    return got.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"), "score",
     )
 
 
 def op8_lm(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, learn(docs.where(~held_out("doc_id"))))
+    return scored(table(spark, sf_dir, "documents"))
