@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bagflow.llm.quality import DUPLICATE_SHARE, LINE_CHAR_SHARE, LINE_SHARE, SYMBOL_SHARE
+from bagflow.llm.quality import DUPLICATE_SHARE, FEW, LINE_CHAR_SHARE, LINE_SHARE, ONCE_LINE_SHARE, ONCE_SHARE, SHORT, SYMBOL_SHARE
 
 
 def crc_table() -> list[int]:
@@ -39,9 +39,11 @@ k as (select doc_id, count(*) as n_lines, count(*) filter (where again) as dup_l
 b as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
     cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(dup_lines, 0) as n_dup_lines,
     coalesce((select hit from a where a.doc_id = w.doc_id and n = 3), 0) as n_repeat_words,
-    coalesce(dup_lines <= {LINE_SHARE} * n_lines and dup_chars <= {LINE_CHAR_SHARE} * chars, true) as lines_good from w left join k on w.doc_id = k.doc_id),
+    coalesce(len(ws) < {SHORT} and dup_lines between 1 and {FEW}, false) as few,
+    coalesce(dup_lines <= (case when len(ws) < {SHORT} and dup_lines between 1 and {FEW} then {ONCE_LINE_SHARE} else {LINE_SHARE} end) * n_lines
+        and dup_chars <= {LINE_CHAR_SHARE} * chars, true) as lines_good from w left join k on w.doc_id = k.doc_id),
 o as (select distinct a.doc_id from a join b on a.doc_id = b.doc_id
-    where {" or ".join(f"n = {n} and chars > {most} * word_chars" for n, most in DUPLICATE_SHARE.items())}),
+    where {" or ".join(f"n = {n} and chars > (case when few then {ONCE_SHARE[n]} else {most} end) * word_chars" for n, most in DUPLICATE_SHARE.items())}),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     not base_failed and lines_good and n_symbols <= {SYMBOL_SHARE} * n_words and doc_id not in (select doc_id from o) as kept from f

@@ -18,9 +18,9 @@ from bagflow.llm.common import chunked, own, prepared, span_hashes, table, utf8,
 DUPLICATE_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of lines, and of characters, in lines equal to an earlier line.
 LINE_SHARE, LINE_CHAR_SHARE = 0.30, 0.20
-#: In a text of fewer words than SHORT whose one repeated line comes twice, that line alone is a large share: up to 0.28 in
+#: In a text of fewer words than SHORT in which FEW lines at most repeat an earlier one, these alone are a large share: up to 0.28 in
 #: windows of 5 to 9 words, 0.18 in those of 10 and 0.34 of lines among labelled clean texts.
-SHORT = 200
+SHORT, FEW = 200, 2
 ONCE_SHARE = {5: 0.30, 6: 0.30, 7: 0.30, 8: 0.30, 9: 0.30, 10: 0.20}
 ONCE_LINE_SHARE = 0.40
 #: Most symbols to a word.
@@ -130,7 +130,7 @@ def _base_failed() -> Column:
 
 
 def _verdict() -> Column:
-    once = (F.col("n_words") < SHORT) & (F.col("n_dup_lines") == 1)
+    once = (F.col("n_words") < SHORT) & F.col("n_dup_lines").between(1, FEW)
     ok = F.col("n_symbols") <= SYMBOL_SHARE * F.col("n_words")
     for i, n in enumerate(DUPLICATE_SHARE):
         ok = ok & (F.col("dup_char_shares")[i] <= F.when(once, ONCE_SHARE[n]).otherwise(DUPLICATE_SHARE[n]))
@@ -140,13 +140,14 @@ def _verdict() -> Column:
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass, with the columns they came with.
 
-    The whole row travels beside its measures in one struct, so no join is needed and repeated keys stay apart."""
+    The whole row travels beside its measures in one struct, so no join is needed and repeated keys stay apart. Null, empty and
+    short texts fail, an empty table gives no rows, columns of any name pass through."""
     prepared(spark)
     names = docs.columns
     kind = docs.schema.simpleString()
     schema = SCHEMA.replace("struct<doc_id:bigint>", kind)
-    got = docs.select(F.struct(*names).alias("row_key"), F.col("text")).mapInArrow(_measure, schema)
-    return got.where(~_base_failed() & _verdict()).select(*[F.col("row_key")[c].alias(c) for c in names])
+    got = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_key"), F.col("text")).mapInArrow(_measure, schema)
+    return got.where(~_base_failed() & _verdict()).select(*[F.col("row_key").getField(c).alias(c) for c in names])
 
 
 def op10_quality(spark, sf_dir):
