@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import own, prepared, table
+from bagflow.llm.common import discard, own, prepared, stored, table
 
 
 @dataclass(frozen=True)
@@ -39,10 +39,12 @@ RULES = [
     Rule("block", "org", "/es/"),
 ]
 
-#: Labelled URLs the trees are fitted on, at most about so many; rounds, depth and step of the boosting.
+#: Labelled URLs the trees are fitted on, about so many at most; rounds, depth and step of the boosting.
 FIT_ROWS, ROUNDS, DEPTH, STEP, L2 = 20_000, 12, 3, 0.4, 1.0
 #: Labelled URLs a suffix must have before its own rate outweighs the overall rate.
 SUFFIX_PRIOR = 20.0
+#: Suffixes and segments whose rates may be sent to every task; more are joined, with the same verdicts.
+SENT_RATES = 200_000
 
 
 def parts(urls: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -110,6 +112,7 @@ class Trees:
     trees: list
     rates: DataFrame
     overall: float
+    sent: bool = True
 
     def margin(self) -> Column:
         def value(node) -> Column:
@@ -124,36 +127,49 @@ class Trees:
         return total
 
 
-def featured(frame: DataFrame, rates: DataFrame, overall: float) -> DataFrame:
-    """Adds the binned features. rates has one row per suffix or segment of the labelled sample, so at most 2 * FIT_ROWS small rows."""
+def featured(frame: DataFrame, rates: DataFrame, overall: float, sent: bool = True) -> DataFrame:
+    """Adds the binned features. rates has one row per suffix or segment of the labelled URLs; it is broadcast if it is small."""
     frame = frame.withColumns(suffixes())
     for kind, column in (("suffix", "suffix_rate"), ("segment", "path_rate")):
         one = rates.where(F.col("kind") == kind).select(F.col("value").alias(kind), F.col("rate").alias(column))
-        frame = frame.join(F.broadcast(one), kind, "left").withColumn(column, F.coalesce(F.col(column), F.lit(overall)))
+        frame = frame.join(F.broadcast(one) if sent else one, kind, "left").withColumn(column, F.coalesce(F.col(column), F.lit(overall)))
     return frame.withColumns({k: F.floor(v).cast("int") for k, v in features().items()})
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, depth: int = DEPTH) -> Trees | None:
-    """Logistic boosting on labelled (url, host, path, label) rows; None without both labels.
+def sampled(labelled: DataFrame, rows: int, total: int) -> DataFrame:
+    """About `rows` of `total` rows, the same in every run: those whose hash lies in the lowest share of all 64-bit numbers."""
+    if rows >= total:
+        return labelled
+    below = -(1 << 63) + (rows << 64) // total
+    return labelled.where(F.xxhash64("page_id", "url") < F.lit(below))
 
-    The sample is the share of rows, by hash of the URL, that makes about fit_rows: a documented bound, the same rows in every run."""
-    total = labelled.count()
-    share = min(1.0, fit_rows / max(total, 1))
-    slot = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
-    sample = labelled.where(slot < int(share * 1_000_000)).select("url", "host", "path", F.col("label").cast("double").alias("label"))
-    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("p")).first()
-    if not seen["n"] or not 0 < seen["p"] < 1:
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, depth: int = DEPTH, sent_rates: int = SENT_RATES) -> Trees | None:
+    """Logistic boosting on labelled (page_id, url, host, path, label) rows; None without both labels.
+
+    Suffix and segment statistics are those of all labelled rows. The trees are fitted on a sample of about fit_rows, a documented
+    bound. Should a sample of so many rows hold one label only, that is an error and not a model that allows everything."""
+    seen = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
+    total, ones = seen["n"], seen["ones"] or 0
+    if not 0 < ones < total:
         return None
-    overall = float(seen["p"])
-    each = sample.withColumns(suffixes()).select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("suffix", "segment")])).alias("x"))
+    overall = ones / total
+    each = labelled.withColumns(suffixes()).select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("suffix", "segment")])).alias("x"))
     rate = (F.sum("label") + SUFFIX_PRIOR * overall) / (F.count(F.lit(1)) + SUFFIX_PRIOR)
-    rates = each.groupBy("x.kind", "x.value").agg(rate.alias("rate")).checkpoint()
+    rates = stored(each.groupBy("x.kind", "x.value").agg(rate.alias("rate")))
+    sent = rates.count() <= sent_rates
 
     names = list(features())
-    data = featured(sample, rates, overall).select("label", *names).groupBy("label", *names).agg(F.count(F.lit(1)).alias("weight")).coalesce(4).checkpoint()
-    model = Trees(math.log(overall / (1 - overall)), [], rates, overall)
+    sample = sampled(labelled, fit_rows, total).withColumn("label", F.col("label").cast("double"))
+    data = stored(featured(sample, rates, overall, sent).groupBy("label", *names).agg(F.count(F.lit(1)).alias("weight")).coalesce(4))
+    held = data.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("ones")).first()
+    if not 0 < (held["ones"] or 0) < (held["n"] or 0):
+        raise ValueError(f"a sample of {fit_rows} of {total} labelled URLs holds one label only: raise fit_rows")
+    share = held["ones"] / held["n"]
+    model = Trees(math.log(share / (1 - share)), [], rates, overall, sent)
     for _ in range(rounds):
         model.trees.append(_tree(data, model, names, depth))
+    discard(data)
     return model
 
 
@@ -165,7 +181,7 @@ def _tree(data: DataFrame, model: Trees, names: list[str], depth: int):
     leaves: dict[int, float] = {}
     node = F.lit(1)
     open_nodes = {1}
-    for level in range(depth):
+    for _ in range(depth):
         pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("bin")) for n in names])).alias("x")
         rows = scored.withColumn("node", node).select("node", "g", "h", pairs).groupBy("node", "x.feature", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
         table_: dict = {}
@@ -176,18 +192,21 @@ def _tree(data: DataFrame, model: Trees, names: list[str], depth: int):
         for n, by in table_.items():
             some = next(iter(by.values()))
             total_g, total_h = sum(x[1] for x in some), sum(x[2] for x in some)
-            best = (1e-6, None, None)
+            best = (1e-6, None, None, 0.0, 0.0)
             for name in names:
                 left_g = left_h = 0.0
                 for at, g, h in sorted(by[name])[:-1]:
                     left_g, left_h = left_g + g, left_h + h
                     gain = left_g**2 / (left_h + L2) + (total_g - left_g) ** 2 / (total_h - left_h + L2) - total_g**2 / (total_h + L2)
                     if gain > best[0] + 1e-9:
-                        best = (gain, name, at)
+                        best = (gain, name, at, left_g, left_h)
             leaves[n] = round(-STEP * total_g / (total_h + L2), 9)
             if best[1] is not None:
-                splits[n] = best[1:]
+                splits[n] = best[1:3]
                 now |= {2 * n, 2 * n + 1}
+                # the sums on both sides are the children's
+                leaves[2 * n] = round(-STEP * best[3] / (best[4] + L2), 9)
+                leaves[2 * n + 1] = round(-STEP * (total_g - best[3]) / (total_h - best[4] + L2), 9)
         if not now:
             break
         step = F.lit(0)
@@ -195,9 +214,6 @@ def _tree(data: DataFrame, model: Trees, names: list[str], depth: int):
             if 2 * n in now:
                 step = F.when(node == n, F.when(F.col(name) <= at, F.lit(2 * n)).otherwise(F.lit(2 * n + 1))).otherwise(step)
         node, open_nodes = step, now
-    else:
-        rows = scored.withColumn("node", node).groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        leaves |= {r["node"]: round(-STEP * r["g"] / (r["h"] + L2), 9) for r in rows}
 
     def build(n: int):
         return (*splits[n], build(2 * n), build(2 * n + 1)) if n in splits else leaves.get(n, 0.0)
@@ -205,20 +221,20 @@ def _tree(data: DataFrame, model: Trees, names: list[str], depth: int):
     return build(1)
 
 
-def verdicts(urls: DataFrame, rules: list[Rule] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+def verdicts(urls: DataFrame, rules: list[Rule] = RULES, key: str = "page_id", url: str = "url", fit_rows: int = FIT_ROWS, sent_rates: int = SENT_RATES) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block.
 
     URLs that a rule decides are the labelled ones; the trees learn from a bounded sample of them and judge the rest (block
-    where p_block > 0.5). The scoring pass is narrow: no shuffle, and what is broadcast has at most 2 * FIT_ROWS small rows.
+    where p_block > 0.5). The scoring pass is narrow as long as there are at most sent_rates suffixes and segments.
     Null or relative URLs have empty host and path, so no rule, and are judged like any other. Without labelled URLs of both
     kinds, what no rule decides is allowed. Repeated rows are judged alike, an empty table gives no rows."""
     prepared(urls.sparkSession)
     ruled = with_rule(parts(urls, key, url), rules)
     labelled = ruled.where(F.col("rule").isNotNull()).withColumn("label", (F.col("rule_verdict") == "block").cast("int"))
-    model = fit(labelled)
+    model = fit(labelled, fit_rows, sent_rates=sent_rates)
     if model is None:
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("p_block"))
-    scored = featured(ruled, model.rates, model.overall).withColumn("p_block", 1 / (1 + F.exp(-model.margin())))
+    scored = featured(ruled, model.rates, model.overall, model.sent).withColumn("p_block", 1 / (1 + F.exp(-model.margin())))
     own_verdict = F.when(F.col("p_block") > 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own_verdict).alias("verdict"), "p_block")
 
