@@ -25,6 +25,8 @@ from bagflow.llm.common import own, prepared, removed_from, shared_dir, stored,
 ARCHIVE_BYTES, READ_BYTES, LEVEL = 256 << 20, 1 << 20, 5
 #: Bytes of archives that make a task.
 TASK_BYTES = 32 << 20
+#: Copies (36 bytes each) whose list may be sent to every task; a longer one is joined, with the same records.
+SENT_COPIES = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST = "path string, records bigint, bytes bigint"
@@ -204,16 +206,17 @@ def _lines(stream) -> Iterator[bytes]:
         yield from whole
 
 
-def record_plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def record_plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sent: int = SENT_COPIES) -> DataFrame:
     """Every page with its record's type. Only digests and ids are grouped, and a digest's copies are counted before the
-    shuffle, so a payload that a third of all pages share costs one row per task. The plan then meets its pages by
-    (page_id, digest), which spreads those copies."""
+    shuffle, so a payload that a third of all pages share costs one row per task. The list of copies then meets the pages: it is
+    sent to where they are read if it is small; else both are dealt by (page_id, digest), which spreads the copies."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     base = own(pages, page_id=F.col(key).cast("long"), url=url, payload=body).withColumn("digest", F.sha1("payload"))
     first = base.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = base.select("page_id", "digest").join(first, "digest").where("first_id is not null and (page_id is null or page_id <> first_id)")
-    later = later.select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), "first_id").distinct()
-    met = base.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left")
+    later = stored(later.select(F.col("page_id").alias("later_id"), F.unhex("digest").alias("later_digest"), "first_id").distinct())
+    copies = F.broadcast(later) if later.count() <= sent else later
+    met = base.join(copies, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.unhex("digest") == F.col("later_digest")), "left")
     again = F.col("first_id").isNotNull()
     return met.select(
         "page_id", "url", F.when(again, "revisit").otherwise("response").alias("kind"), F.col("first_id").alias("refers_to"), "digest",
