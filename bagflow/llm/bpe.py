@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import base64
 import functools
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -28,7 +26,7 @@ from bagflow.llm.common import discard, own, prepared, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Most frequent pieces of the corpus that are merged ahead and sent to all workers, at most.
-FREQUENT = 250_000
+FREQUENT = 200_000
 #: Rarer pieces a worker remembers; beyond that it begins anew, which costs time and changes nothing.
 REMEMBERED = 100_000
 #: Distinct pieces a counting task holds before it hands partial counts on.
@@ -217,7 +215,7 @@ def _replayed(name: str) -> Callable:
     return run
 
 
-def merged_ahead(texts: DataFrame, name: str, pattern: str, frequent: int) -> Shared:
+def merged_ahead(texts: DataFrame, name: str, pattern: str, frequent: int) -> Broadcast:
     """The corpus' most frequent pieces with their ids, as a broadcast of at most `frequent` of them.
 
     All documents are counted. Steps of an eighth of a power of two say from which count on pieces are few enough."""
@@ -236,20 +234,12 @@ def merged_ahead(texts: DataFrame, name: str, pattern: str, frequent: int) -> Sh
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, got.schema) as writer:
         writer.write_table(got)
-    return Shared(uuid.uuid4().hex, spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
 # Texts.
 
 
-@dataclass
-class Shared:
-    """Frequent pieces with their ids, packed and sent to the workers under a name."""
-
-    token: str
-    packed: Broadcast
-
-
 class Known:
     """Pieces and their ids in a worker: the frequent ones for good, others as they come."""
 
@@ -267,17 +257,6 @@ class Known:
         self.ids.update(zip(new, replay([piece.encode() for piece in new], self.vocab), strict=True))
 
 
-_known: dict[str, Known] = {}
-
-
-def known_of(name: str, shared: Shared) -> Known:
-    """A worker's pieces; those of an earlier corpus are dropped."""
-    if shared.token not in _known:
-        _known.clear()
-        _known[shared.token] = Known(vocabulary(name), shared.packed.value)
-    return _known[shared.token]
-
-
 def encode_batch(texts: Iterable[str | None], known: Known, pattern: regex.Pattern) -> list[bytes]:
     split = [pattern.findall(text) if text else [] for text in texts]
     known.learn(set().union(*split))
@@ -290,9 +269,10 @@ def decode_batch(ids: list[bytes], vocab: Vocabulary) -> list[bytes]:
     return [b"".join(map(find, np.frombuffer(one, "<u4").tolist())) for one in ids]
 
 
-def _encoder(name: str, pattern: str, shared: Shared) -> Callable:
+def _encoder(name: str, pattern: str, shared: Broadcast) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, compiled = known_of(name, shared), regex.compile(pattern)
+        # for the length of the task: a worker that goes on to other work holds nothing
+        known, compiled = Known(vocabulary(name), shared.value), regex.compile(pattern)
         for batch in batches:
             ids = encode_batch(batch.column(1).to_pylist(), known, compiled)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["row_key", "ids"])
@@ -310,7 +290,7 @@ def _decoder(name: str) -> Callable:
     return decode
 
 
-def _both(name: str, pattern: str, shared: Shared) -> Callable:
+def _both(name: str, pattern: str, shared: Broadcast) -> Callable:
     """Encoder and decoder in one Python worker: ids go from one to the other without leaving it."""
     encode, decode = _encoder(name, pattern, shared), _decoder(name)
     return lambda batches: decode(encode(batches))

@@ -154,14 +154,36 @@ def powers(n: int, base: np.uint64 = _P) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def in_pieces(size: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[slice]:
+    """Runs of spans of about `limit` bytes together."""
+    upto = np.cumsum(size)
+    first = 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + limit, "right")))
+        yield slice(first, last)
+        first = last
+
+
+def places_of(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all bytes of spans, end to end, and each one's place within its span."""
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return within + np.repeat(starts, size), within
+
+
+def gathered(body: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans, end to end."""
+    parts = [body[places_of(starts[k], size[k])[0]] for k in in_pieces(size)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span; spans are in order and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of every span; spans are not empty. What is held beside is bounded by a piece, not by all bytes."""
     length = ends - starts
-    first = np.cumsum(length) - length
-    within = np.arange(int(length.sum())) - np.repeat(first, length)
-    values = body[within + np.repeat(starts, length)].astype(np.uint64)
-    values += np.uint64(1)
-    values *= powers(int(length.max()))[within]
-    return mix(np.add.reduceat(values, first) + length.astype(np.uint64) * _M1)
+    out = np.zeros(len(starts), np.uint64)
+    for k in in_pieces(length):
+        place, within = places_of(starts[k], length[k])
+        values = body[place].astype(np.uint64)
+        values += np.uint64(1)
+        values *= powers(int(length[k].max()))[within]
+        out[k] = np.add.reduceat(values, np.cumsum(length[k]) - length[k])
+    return mix(out + length.astype(np.uint64) * _M1)

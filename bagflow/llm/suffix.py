@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import chunked, discard, mix, own, prepared, span_hashes, stored, table, utf8
+from bagflow.llm.common import chunked, discard, gathered, in_pieces, mix, own, places_of, prepared, span_hashes, stored, table, utf8
 
 #: Bytes of a string that may not come again, and of the substrings whose hashes compete for its anchor.
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes that a bucket of anchors, or of contexts, stands for: what one step of a task holds follows from it.
 BUCKET_BYTES = 4 << 20
-#: Windows that are put in suffix order at once, at most, but for those that begin with the same eight bytes.
+#: Windows that are put in suffix order at once, about so many at most, but for equal ones.
 SLICE = 200_000
 #: Texts (of those asking after it) from which on an anchor is hot, and hot anchors that every task knows, at most: with more, the
 #: number of texts is raised until they are few enough.
@@ -205,10 +205,8 @@ def _named(texts: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
 # Step 2: contexts of shared anchors.
 
 
-def settle(code: np.ndarray, ids: np.ndarray, body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def settle(code: np.ndarray, ids: np.ndarray, hashes: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For contexts, which of them (the head) is the same bytes in the smallest id, and whether that id is smaller than theirs."""
-    size = np.diff(bounds)
-    hashes = span_hashes(body, bounds[:-1], bounds[1:])
     order = np.lexsort((ids, hashes, code))
     c, h = code[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])) if len(c) else np.zeros(0, np.int64)
@@ -219,9 +217,10 @@ def settle(code: np.ndarray, ids: np.ndarray, body: np.ndarray, bounds: np.ndarr
     same = size[other] == size[head[other]]
     head[other[~same]] = other[~same]
     other = other[same]
-    if len(other):
-        differ = gathered(body, bounds[other], size[other]) != gathered(body, bounds[head[other]], size[other])
-        wrong = other[np.add.reduceat(differ, np.cumsum(size[other]) - size[other]) > 0]
+    for k in in_pieces(size[other]):
+        some = other[k]
+        differ = body[places_of(start[some], size[some])[0]] != body[places_of(start[head[some]], size[some])[0]]
+        wrong = some[np.add.reduceat(differ, np.cumsum(size[some]) - size[some]) > 0]
         head[wrong] = wrong
     return head, ids > ids[head]
 
@@ -231,12 +230,6 @@ def packed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return begin.astype(np.int64) << 32 | end.astype(np.int64)
 
 
-def gathered(body: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of spans, end to end."""
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return body[within + np.repeat(starts, size)]
-
-
 CONTEXTS = "bucket int, text_code bigint, spans binary, subs binary, ids binary, texts binary, starts binary, sizes binary, body binary"
 
 
@@ -290,16 +283,16 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
                     c, r, place, of, a, b = alone(part, row[many], begin[many], end[many], ids[first:last], buckets)
                     settled.append((names[first + of], a - cuts[of], b - cuts[of]))
                     size = np.full(len(c), LENGTH)
-                    parts.append((c, first + r, place - cuts[r], size, gathered(part, place, size)))
+                    parts.append((c, first + r, place - cuts[r], size, span_hashes(part, place, place + size), gathered(part, place, size)))
                 row, begin, end, code = row[~many], begin[~many], end[~many], code[~many]
                 size = end - begin + LENGTH - 1
-                parts.append((code, first + row, begin - cuts[row], size, gathered(part, begin, size)))
+                parts.append((code, first + row, begin - cuts[row], size, span_hashes(part, begin, begin + size), gathered(part, begin, size)))
             if not parts:
                 continue
-            code, row, start, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            code, row, start, size, hashes, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
-            cuts = np.concatenate([[0], np.cumsum(size)])
-            _, later = settle(code, ids[row], text, cuts)
+            place = np.cumsum(size) - size
+            _, later = settle(code, ids[row], hashes, text, place, size)
             settled.append((names[row[later]], start[later], start[later] + size[later]))
             who, a, b = (np.concatenate(x) for x in zip(*settled, strict=True))
             done, spans = blobs(who, packed(a, b))
@@ -309,9 +302,10 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
             which = (code[ask] >> 32).astype(np.int32)
             if len(ask):
                 columns = [blobs(which, c)[1] for c in ((code[ask] & 0xFFFFFFFF).astype(np.uint32), ids[row[ask]], names[row[ask]], start[ask].astype(np.int32), size[ask].astype(np.int32))]
-                of_byte = np.repeat(which, size[ask])
-                columns.append(blobs(of_byte, gathered(text, cuts[ask], size[ask]))[1])
-                yield _context_rows(np.unique(which), None, None, columns)
+                first_of = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                offsets = np.append(0, np.cumsum(np.add.reduceat(size[ask], first_of))).astype(np.int32)
+                columns.append(pa.Array.from_buffers(pa.binary(), len(first_of), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gathered(text, place[ask], size[ask]).tobytes())]))
+                yield _context_rows(which[first_of], None, None, columns)
 
     return make
 
@@ -390,21 +384,39 @@ def previous_factors(body: np.ndarray, places: np.ndarray, ids: np.ndarray) -> n
     return out
 
 
-def slices(sub: np.ndarray, head: np.ndarray) -> Iterator[slice]:
-    """Windows, sorted by their anchor and first bytes, in runs of about SLICE; what could be equal stays together."""
-    edge = np.flatnonzero(np.concatenate([[True], (sub[1:] != sub[:-1]) | (head[1:] != head[:-1])])) if len(sub) else np.zeros(0, np.int64)
+def slices(hashes: np.ndarray) -> Iterator[slice]:
+    """Windows, sorted by their hash, in runs of about SLICE; equal ones stay together."""
+    edge = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
     begin = 0
-    while begin < len(sub):
+    while begin < len(hashes):
         at = np.searchsorted(edge, begin + SLICE)
-        end = int(edge[at]) if at < len(edge) else len(sub)
+        end = int(edge[at]) if at < len(edge) else len(hashes)
         yield slice(begin, end)
         begin = end
 
 
+def reached(body: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor of each place reaches LENGTH. Of a window whose hash no other one has it doesn't; the
+    others are put in suffix order, as many at a time as SLICE."""
+    gone = np.zeros(len(places), bool)
+    if not len(places):
+        return gone
+    hashes = window_hashes(body)[places]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    same = np.concatenate([[False], hashes[1:] == hashes[:-1], [False]])
+    twice = same[1:] | same[:-1]
+    order, hashes = order[twice], hashes[twice]
+    for part in slices(hashes):
+        at = order[part]
+        gone[at] = previous_factors(body, places[at], ids[at]) >= LENGTH
+    return gone
+
+
 def bucket_spans(sub: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, begin, end) of the removals among a bucket's contexts; places are counted in the contexts' texts."""
     cuts = np.concatenate([[0], np.cumsum(size)])
-    head, later = settle(sub, ids, body, cuts)
+    head, later = settle(sub, ids, span_hashes(body, cuts[:-1], cuts[1:]), body, cuts[:-1], size)
     heads = np.flatnonzero(head == np.arange(len(head)))
     # an anchor with one head has no other string to meet
     _, at, times = np.unique(sub[heads], return_inverse=True, return_counts=True)
@@ -412,16 +424,7 @@ def bucket_spans(sub: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.n
     windows = size[heads] - LENGTH + 1
     owner = np.repeat(np.arange(len(heads)), windows)
     within = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    places, id_of, sub_of = cuts[heads][owner] + within, ids[heads][owner], sub[heads][owner]
-    gone = np.zeros(len(places), bool)
-    if len(places) > SLICE:
-        key = words_at(body, places)[0]
-        order = np.lexsort((key, sub_of))
-        for part in slices(sub_of[order], key[order]):
-            at = order[part]
-            gone[at] = previous_factors(body, places[at], id_of[at]) >= LENGTH
-    else:
-        gone = previous_factors(body, places, id_of) >= LENGTH
+    gone = reached(body, cuts[heads][owner] + within, ids[heads][owner])
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
     new_owner = np.concatenate([[False], owner[1:] != owner[:-1], [False]]) if len(owner) else np.zeros(1, bool)
     both = new_owner[:-1] & gone & np.concatenate([[False], gone[:-1]]) if len(gone) else np.zeros(0, bool)
