@@ -5,7 +5,9 @@ import collections
 import gzip
 import hashlib
 import json
+import random
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 
@@ -46,6 +48,102 @@ def test_main_text(spark):
     assert html.main_text(frame(spark, [])).count() == 0
 
 
+class Plain(HTMLParser):
+    """An extractor for well-formed pages, by the standard library's parser: the text of articles, by blocks."""
+
+    INLINE, LEFT_OUT = {"a", "b", "i", "em", "span", "strong"}, {"nav", "footer", "aside", "form", "script", "style", "title"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+        self.feed(page)
+        self.text = " ".join(" ".join(b.split()) for b in self.blocks if b.strip())
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("meta", "link", "img", "hr", "input"):
+            self.open.append((tag, dict(attributes).get("class") in ("ad", "comment", "comments")))
+        if tag not in self.INLINE | {"br"}:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        while self.open and self.open.pop()[0] != tag:
+            pass
+        if tag not in self.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(t in self.LEFT_OUT or bad for t, bad in self.open):
+            self.blocks[-1] += data
+
+
+def test_against_another_parser(spark):
+    """All pages of a table; they are well formed and have an article each."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r["page_id"]: Plain(r["html"]).text for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert got == want and sum(map(bool, got.values())) > 2000
+
+
+def brute_templates(pages):
+    """Texts after template removal for pages that are one nested list of strings: [tag, child, ...]; the outermost goes first."""
+
+    def subtrees(node):
+        yield json.dumps(node)
+        for child in node[1:]:
+            if not isinstance(child, str):
+                yield from subtrees(child)
+
+    held, sizes = collections.defaultdict(set), collections.Counter()
+    for n, (host, tree) in enumerate(pages):
+        sizes[host] += 1
+        for child in tree[1:]:
+            for one in subtrees(child):
+                held[host, one].add(n)
+    gone = {key for key, on in held.items() if len(on) >= html.MIN_PAGES and len(on) >= html.MIN_SHARE * sizes[key[0]]}
+
+    def texts(host, node):
+        for child in node[1:]:
+            if isinstance(child, str):
+                yield child
+            elif (host, json.dumps(child)) not in gone:
+                yield from texts(host, child)
+
+    return [" ".join(texts(host, tree)) for host, tree in pages]
+
+
+def test_templates_against_brute_force(spark):
+    """Random nested pages of few parts, so that parents, children and both recur; rare hosts and rare parts stay."""
+    rng = random.Random(5)
+
+    def tree(depth):
+        return [rng.choice(["div", "section", "ul"]), *(rng.choice(["Follow us", "Sections", "every day", "About"]) if depth == 0 or rng.random() < 0.5 else tree(depth - 1) for _ in range(rng.randrange(1, 3)))]
+
+    shared = [tree(2) for _ in range(6)]
+    pages = []
+    for n in range(60):
+        host = rng.choice(["a.example", "a.example", "b.example", "c.example"])
+        pages.append((host, ["body", *(rng.choice(shared) if rng.random() < 0.6 else ["p", f"own {n} {k}"] for k in range(5))]))
+
+    def markup(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(' ' + markup(c) + ' ' for c in node[1:])}</{node[0]}>"
+
+    rows = [(n, f"http://{host}/{n}", markup(t)) for n, (host, t) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(frame(spark, rows)).collect()}
+    want = brute_templates(pages)
+    assert [got[n] for n in range(60)] == want and want != [html.read_page(h, "", None)[0] for _, _, h in rows]
+
+
+def test_nested_templates_and_comments():
+    pages = [f"<body><div>Follow us on <div>Read our other stories</div> every day</div><div>Sections <ul><li>a<li>b</ul></div><p>own {i}</p>" for i in range(12)]
+    counts = collections.Counter(code for page in pages for code in set(html.read_page(page, "h", None)[1]))
+    known = {code for code, n in counts.items() if n >= 5}
+    assert [html.read_page(page, "h", known.__contains__)[0] for page in pages] == [f"own {i}" for i in range(12)]
+    page = "<article>Text<p class='notice-board'>board</p><p class='ad-hoc'>hoc</p><div class='comment-list'>c</div><div id=site-footer>f</div><div class='ad-728x90'>a</div><article class='comment'>reader</article></article>"
+    assert html.read_page(page, "h", None)[0] == "Text board hoc"
+
+
 @pytest.mark.parametrize("sent", [200_000, 0])
 def test_template_subtrees(spark, sent):
     """What many pages of one host have goes, also where no rule names it; in an article shared prose stays."""
@@ -134,3 +232,38 @@ def test_trees_on_held_out_urls(spark):
     assert right[0] > 0.9 and right[0] >= max(right[1], 1 - right[1])
     again = urls.fit(train)
     assert again.trees == model.trees
+
+
+#: The rules in SQL: the longest that fits, its verdict where there is one, host and path.
+RULES_SQL = """
+with u as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r(verdict, rh, rp) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f as (select page_id, rh || rp as rule, verdict, row_number() over (partition by page_id order by length(rh || rp) desc) as nth from h join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
+select h.page_id, host, path, rule, verdict from h left join f on f.page_id = h.page_id and nth = 1
+"""
+
+
+def test_rules_against_sql(spark):
+    """Every url of a table: host, path, rule, and the verdict where a rule gives it."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view pages as select * from '/root/testdata/sf0.1/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(RULES_SQL).fetchall()}
+    got = urls.verdicts(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in got} == want
+    assert {r["verdict"] for r in got if not r["rule"]} <= {"allow", "block"}
+
+
+def test_small_samples_and_joined_rates(spark):
+    """Rates that are joined give the verdicts of rates that are sent; a tiny share of the labelled rows still makes a model or fails."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    said = lambda frame: collections.Counter((r["page_id"], r["verdict"], r["p_block"] and round(r["p_block"], 9)) for r in frame.collect())
+    assert said(urls.verdicts(pages, sent_rates=0)) == said(urls.verdicts(pages))
+    assert all(r["p_block"] is not None for r in urls.verdicts(pages, fit_rows=100).collect())
+    with pytest.raises(ValueError, match="one label"):
+        urls.verdicts(pages, fit_rows=1)
+    # of 2 * 10**13 rows a share of 10**-9 is still rows
+    frame_ = spark.range(1000).select("id", "id").toDF("page_id", "url")
+    assert urls.sampled(frame_, 20_000, 2 * 10**13).count() == 0 and urls.sampled(frame_, 500, 1000).count() in range(400, 600)
