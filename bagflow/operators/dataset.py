@@ -180,6 +180,8 @@ def _aggregated(frame: DataFrame, keys: dict[str, Column], aggr: Aggr, name: str
         inner = frame.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*natives)
     elif not keys and len(leaves) == 1 and leaves[0].order:
         inner = _first_of_all(frame, leaves[0])
+    elif all(leaf.order or leaf.native for leaf in leaves):
+        inner = _side_by_side(frame, keys, leaves)
     else:
         inner = _folded(frame, keys, leaves)
     return inner.select(*keys, aggr.finish([F.col(f"leaf_{i}") for i in range(len(leaves))]).alias(name))
@@ -209,6 +211,28 @@ def _first_of_all(frame: DataFrame, leaf: Leaf) -> DataFrame:
     return cut.agg(F.transform(F.sort_array(F.collect_list("__pair"), not greatest), lambda r: r["row"]).alias("leaf_0"))
 
 
+def _side_by_side(frame: DataFrame, keys: dict[str, Column], leaves: tuple[Leaf, ...]) -> DataFrame:
+    """Top-k beside other aggregates, each by its own plan: what Catalyst aggregates in one grouping, each top-k by its ranks. All
+    have the same groups, which meet by their keys; without keys each is one row."""
+    row = _row(frame)
+    plain = [leaf.native(leaf.value(row), leaf.where(row) if leaf.where else None).alias(f"leaf_{i}") for i, leaf in enumerate(leaves) if not leaf.order]
+    parts = [frame.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*plain)] if plain else []
+    for i, leaf in enumerate(leaves):
+        if leaf.order:
+            first = _first_of_groups(frame, keys, leaf) if keys else _first_of_all(frame, leaf)
+            parts.append(first.withColumnRenamed("leaf_0", f"leaf_{i}"))
+    out = parts[0]
+    if not keys:
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out.agg(*[F.first(f"leaf_{i}", ignorenulls=True).alias(f"leaf_{i}") for i in range(len(leaves))])
+    for part in parts[1:]:
+        other = part.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in part.columns if c not in keys])
+        same = [out[k].eqNullSafe(other[f"__{k}"]) for k in keys]
+        out = out.join(other, same).drop(*[f"__{k}" for k in keys])
+    return out
+
+
 def _folded(frame: DataFrame, keys: dict[str, Column], leaves: tuple[Leaf, ...]) -> DataFrame:
     """All leaves as folds: one pass before the shuffle, one streaming pass over states sorted by key after it."""
     row = _row(frame)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from typing import BinaryIO
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +39,10 @@ def dealt(files: list[str]) -> list[list[str]]:
     return [files[i::n] for i in range(n)]
 
 
-def download(url: str) -> bytes | None:
-    """The file, or None if there is none; anything else but success is an error."""
+def download(url: str) -> BinaryIO | None:
+    """The file as a stream, or None if there is none; anything else but success is an error."""
     try:
-        with urllib.request.urlopen(url, timeout=300) as answer:
-            return answer.read()
+        return urllib.request.urlopen(url, timeout=300)
     except urllib.error.HTTPError as error:
         if error.code == 404:
             return None
@@ -60,20 +61,28 @@ def decoded(line: bytes) -> tuple:
     return (actor.get("id"), actor.get("login"), actor["url"]), (repo["id"], repo["name"]), kind, commits
 
 
-def producer(url: str, fetch: Callable[[str], bytes | None] = download) -> Callable[[], Iterator[tuple]]:
+Fetch = Callable[[str], BinaryIO | bytes | None]
+
+
+def producer(url: str, fetch: Fetch = download) -> Callable[[], Iterator[tuple]]:
+    """The events of a file, inflated and read line by line as they are asked for: no more than a line is held."""
+
     def produce() -> Iterator[tuple]:
         try:
             packed = fetch(url)
-            for line in gzip.decompress(packed).split(b"\n") if packed is not None else ():
-                if line.strip():
-                    yield decoded(line)
+            if packed is None:
+                return
+            with io.BytesIO(packed) if isinstance(packed, bytes) else packed as stream, gzip.open(stream) as lines:
+                for line in lines:
+                    if line.strip():
+                        yield decoded(line)
         except Exception as error:
             raise RuntimeError(f"{url}: {type(error).__name__}: {error}") from error
 
     return produce
 
 
-def events(spark: SparkSession, first: date, last: date, base: str = BASE, fetch: Callable[[str], bytes | None] = download) -> Dataset:
+def events(spark: SparkSession, first: date, last: date, base: str = BASE, fetch: Fetch = download) -> Dataset:
     """All events of some days. An hour without a file has no events; a bad file or record is an error that names the file."""
     parts = [sum((Partition.of(producer(url, fetch)) for url in files), Partition()) for files in dealt(urls(first, last, base))]
     return external(spark, parts, EVENT_SCHEMA)

@@ -1,8 +1,11 @@
 """The dataset against plain lists, its edge cases, and the plans it makes."""
 
 import gzip
+import io
 import json
 import math
+import os
+import threading
 import time
 from collections import Counter
 from datetime import date
@@ -13,10 +16,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bagflow.functions import Fold, bottom_k, collect, const, count, distinct_set, from_fold, from_monoid, from_reduce, integer_sum, max_, mean, min_, sum_, top_k
-from bagflow.operators import Dataset, Options, Status, TaskFailed, Throttle, fork, fork_concurrently
-from bagflow.plans.context import explained, observed, run
+from bagflow.operators import Dataset, Options, Progress, State, Status, TaskFailed, Throttle, fork, fork_concurrently
+from bagflow.plans.context import explained, measured, observed, run
 from bagflow.sources import Partition, events, external, table
-from bagflow.sources.archive import dealt, urls
+from bagflow.sources.archive import dealt, producer, urls
 
 SMALL = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 SHAPES = st.lists(st.lists(st.integers(0, 10), max_size=10), max_size=6)
@@ -208,6 +211,24 @@ def test_bad_events_name_their_file(spark, bad):
         events(spark, date(2020, 2, 29), date(2020, 2, 29), fetch=archive([GOOD, bad])).to_list()
 
 
+def test_archive_is_read_as_a_stream():
+    """Events come before the file has been read to its end."""
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, size=-1):
+            got = super().read(size)
+            Counted.taken += len(got)
+            return got
+
+    line = json.dumps(GOOD).encode() + b"\n"
+    body = gzip.compress(b"".join(line[:-1] + b" " * (i % 977) + b"\n" for i in range(20000)), 1)
+    events_ = producer("u", lambda url: Counted(body))()
+    next(events_)
+    assert Counted.taken < len(body) / 2
+    assert sum(1 for _ in events_) == 19999
+
+
 # Tasks, session.
 
 
@@ -244,6 +265,78 @@ def test_fork_concurrently(spark, tmp_path):
         fork_concurrently(spark, [third_time], Options(retries=1))
 
 
+def test_throttle_holds_for_each_task(spark, tmp_path):
+    """No two tasks under way at once with a throttle of one, and more than one without."""
+
+    def task(i, path=str(tmp_path)):
+        import glob
+
+        open(f"{path}/{i}.on", "w").close()
+        time.sleep(0.2)
+        seen = len(glob.glob(f"{path}/*.on"))
+        os.remove(f"{path}/{i}.on")
+        return seen
+
+    tasks = [lambda i=i: task(i) for i in range(4)]
+    assert fork_concurrently(spark, tasks, Options(throttle=Throttle(1))) == [1, 1, 1, 1]
+    shared = Throttle(2)
+    assert max(fork_concurrently(spark, tasks, Options(throttle=shared))) <= 2
+    assert max(fork_concurrently(spark, tasks)) > 1
+
+
+def test_progress(spark):
+    told = []
+
+    def runner(f, reporter):
+        reporter.submitted("to nowhere")
+        reporter.started()
+        return f()
+
+    tries = []
+
+    def second_time():
+        tries.append(1)
+        if len(tries) < 2:
+            raise ValueError("once more")
+        return len(tries)
+
+    assert fork_concurrently(spark, [second_time, lambda: 5], Options(progress=told.append), runner) == [2, 5]
+    assert told[-1] == Progress(finished=2, retried=1) and all(x.waiting + x.submitted + x.started + x.finished == 2 for x in told)
+    assert Progress(waiting=1) + -Progress(waiting=1) == Progress()
+
+
+def test_states_have_texts(spark):
+    gate = threading.Event()
+
+    def runner(f, reporter):
+        reporter.submitted("queue 7")
+        gate.wait(20)
+        return f()
+
+    handle = fork(spark, lambda: 1, runner=runner)
+    while handle.poll() is Status.WAITING:
+        time.sleep(0.01)
+    assert handle.state() == State(Status.SUBMITTED, "queue 7")
+    gate.set()
+    assert handle.result() == 1 and handle.state() == State(Status.SUCCEEDED)
+
+    def broken(f, reporter):
+        raise OSError("no room")
+
+    bad = fork(spark, lambda: 1, runner=broken)
+    with pytest.raises(TaskFailed, match="no room"):
+        bad.result()
+    assert bad.state().status is Status.FAILED and "no room" in bad.state().text
+
+
+def test_measured(spark, tmp_path):
+    frame = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    n, stats = measured(spark, lambda s: frame.groupBy("l_returnflag").count().write.parquet(str(tmp_path / "out")) or 3)
+    assert n == 3 and stats.input_items == frame.count() and stats.output_items == 3
+    assert min(stats.input_bytes, stats.output_bytes, stats.shuffle_write_bytes, stats.shuffle_read_bytes, stats.tasks) > 0
+    assert stats.elapsed_ms > 0 and (stats + stats).tasks == 2 * stats.tasks
+
+
 def test_run_and_observe(spark):
     frame, seen = observed(spark.range(7).toDF("id"))
     assert run(spark, lambda s: frame.count(), "ERROR") == 7 and seen.get["items"] == 7
@@ -261,6 +354,9 @@ def test_plans(spark):
     plan = explained(table(spark, d, "orders").grouped_aggr("o_orderpriority", top_k(3, "o_totalprice")).frame)
     assert plan.count("WindowGroupLimit") >= 2
     assert "TakeOrderedAndProject" in explained(table(spark, d, "orders").aggr_frame(top_k(3, "o_totalprice")))
+    both = top_k(3, "o_totalprice").apply(count(), lambda a, b: F.struct(a.alias("top"), b.alias("n")))
+    for plan in (explained(table(spark, d, "orders").grouped_aggr("o_orderpriority", both).frame), explained(table(spark, d, "orders").aggr_frame(both))):
+        assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
 def test_entry():
