@@ -17,14 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import LOWER, chunked, mix, prepared, span_hashes, stored, table, utf8, words
+from bagflow.llm.common import LOWER, chunked, lean, mix, prepared, span_hashes, stored, table, utf8, words
 
 #: Documents whose crc32 of the id has this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of context, and those of them that name a bucket.
+#: Bytes of context, six at most (a key and the number of a text share 64 bits), and those of them that name a bucket.
 DEPTH, TOP = 6, 2
 #: Text bytes of a block of documents, those that a bucket of keys stands for, and blocks that one copy of a bucket answers.
 BLOCK_BYTES, BUCKET_BYTES, BLOCKS_OF_COPY = 16 << 20, 8 << 20, 2000
@@ -43,19 +44,36 @@ _LOG2 = math.log(2)
 
 
 def grams(body: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all coded symbols of some texts, each text's bytes and its end, and the first key of each text."""
-    texts = len(bounds) - 1
-    row = np.repeat(np.arange(texts), np.diff(bounds))
-    symbols = np.full(len(body) + (depth + 1) * texts, EDGE, np.uint64)
-    symbols[np.arange(len(body)) + (depth + 1) * row + depth] = LOWER[body]
-    size = len(symbols) - depth
-    keys = np.zeros(max(size, 0), np.uint64)
-    for back in range(1, depth + 1):
-        keys = (keys << np.uint64(8)) | symbols[depth - back : depth - back + size]
-    keys = (keys << np.uint64(8)) | symbols[depth:]
+    """The keys of all coded symbols of some texts, each text's bytes and its end, and the number of them in each text."""
     length = np.diff(bounds) + 1
-    first = np.cumsum(length) - length
-    return keys[np.arange(int(length.sum())) + depth * np.repeat(np.arange(texts), length)], first
+    begin = bounds[:-1] + (depth + 1) * np.arange(len(length))
+    edges = np.concatenate([(begin[:, None] + np.arange(depth)).ravel(), begin + depth + length - 1])
+    inner = np.ones(len(body) + (depth + 1) * len(length), bool)
+    inner[edges] = False
+    symbols = np.full(len(inner), EDGE, np.uint64)
+    symbols[inner] = LOWER[body]
+    # two bytes at a time, the nearest being the most significant
+    pairs = symbols << np.uint64(8)
+    pairs[1:] |= symbols[:-1]
+    size = max(len(symbols) - depth, 0)
+    keys = np.zeros(size, np.uint64)
+    back = 1
+    while back <= depth:
+        wide = back < depth
+        keys <<= np.uint64(16 if wide else 8)
+        keys |= (pairs if wide else symbols)[depth - back : depth - back + size]
+        back += 2 if wide else 1
+    keys <<= np.uint64(8)
+    keys |= symbols[depth:]
+    coded = np.ones(size, bool)
+    coded[(begin[1:, None] - depth + np.arange(depth)).ravel()] = False
+    return keys[coded], length
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, ascending."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def word_keys(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,13 +138,14 @@ def _count(buckets: int, depth: int) -> Callable:
             body, bounds = utf8(batch.column(1))
             for first, last, part, cuts in chunked(body, bounds, SORTED_BYTES):
                 mine = learns[first:last]
-                gram, begin = grams(part, cuts, depth)
+                gram, length = grams(part, cuts, depth)
                 word, row = word_keys(part, cuts)
-                of_gram = np.repeat(mine, np.diff(np.append(begin, len(gram))))
+                of_gram = np.repeat(mine, length)
                 for kind, keys, flag in ((_WORD, word, mine[row]), (_GRAM, gram, of_gram)):
-                    for value in (True, False):
-                        some, counts = np.unique(keys[flag == value], return_counts=True)
-                        held[kind].append((some, counts if value else np.zeros(len(some), np.int64)))
+                    some, counts = np.unique(keys[flag], return_counts=True)
+                    held[kind].append((some, counts))
+                    some = distinct(keys[~flag])
+                    held[kind].append((some, np.zeros(len(some), np.int64)))
                     if sum(len(k) for k, _ in held[kind]) > HELD_KEYS:
                         held[kind] = [summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
                         if len(held[kind][0][0]) > HELD_KEYS // 2:
@@ -269,7 +288,7 @@ class Upper:
 
 def upper_of(merged: DataFrame, depth: int) -> Upper:
     """The two upper depths; what comes to the driver is bounded by the alphabet: 256 bytes with 255 decisions each."""
-    rows = merged.where(F.col("kind") == _GRAM).select("keys", "counts").mapInArrow(_upper(depth), "place bigint, below double, one double, total double")
+    rows = merged.where(F.col("kind") == _GRAM).select("keys", "counts").mapInArrow(lean(_upper(depth)), "place bigint, below double, one double, total double")
     got = rows.groupBy("place").agg(F.sum("below").alias("below"), F.sum("one").alias("one"), F.sum("total").alias("total")).toArrow()
     below, one, total = (np.zeros((256, 256)) for _ in range(3))
     for name, to in (("below", below), ("one", one), ("total", total)):
@@ -294,7 +313,7 @@ def log_scores(keys: np.ndarray, counts: np.ndarray, upper: Upper, depth: int) -
 # Questions and answers.
 
 ASKED = "bucket int, block bigint, kind int, keys binary"
-ANSWERED = "block bigint, bucket int, kind int, found binary"
+ANSWERED = "block bigint, kind int, keys binary, found binary"
 
 
 def distinct_keys(texts: pa.Table, depth: int) -> dict[int, np.ndarray]:
@@ -302,9 +321,9 @@ def distinct_keys(texts: pa.Table, depth: int) -> dict[int, np.ndarray]:
     found: dict[int, list] = {_WORD: [], _GRAM: []}
     for body, bounds in columns_of(texts):
         for _, _, part, cuts in chunked(body, bounds, SORTED_BYTES):
-            found[_GRAM].append(np.unique(grams(part, cuts, depth)[0]))
-            found[_WORD].append(np.unique(word_keys(part, cuts)[0]))
-    return {kind: np.unique(np.concatenate(parts)) for kind, parts in found.items()}
+            found[_GRAM].append(distinct(grams(part, cuts, depth)[0]))
+            found[_WORD].append(distinct(word_keys(part, cuts)[0]))
+    return {kind: distinct(np.concatenate(parts)) for kind, parts in found.items()}
 
 
 def columns_of(texts: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -341,7 +360,7 @@ def _answer(upper, depth: int) -> Callable:
             if not (keys[at] == wanted).all():
                 raise ValueError("a block asks for keys that were not counted: the documents changed between two reads")
             found.append(packed(values[at]))
-        return pa.Table.from_arrays([asked["block"], asked["bucket"], asked["kind"], pa.array(found, pa.binary())], ["block", "bucket", "kind", "found"])
+        return pa.Table.from_arrays([asked["block"], asked["kind"], asked["keys"], pa.array(found, pa.binary())], ["block", "kind", "keys", "found"])
 
     return answer
 
@@ -349,27 +368,56 @@ def _answer(upper, depth: int) -> Callable:
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
 
 
-def _score(buckets: int, depth: int) -> Callable:
+#: Texts whose keys are sorted at once with the text's number beside each.
+NUMBERED = 256
+
+
+def answered(answers: pa.Table, kind: int, value: type) -> tuple[np.ndarray, np.ndarray]:
+    """What all buckets have answered a block: ascending keys and their values."""
+    of_kind = answers.filter(pc.equal(answers["kind"], kind))
+    keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x, np.uint64) for x in of_kind["keys"].to_pylist())])
+    values = np.concatenate([np.zeros(0, value), *(unpacked(x, value) for x in of_kind["found"].to_pylist())])
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def summed_by_text(gram: np.ndarray, length: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text's keys. A key has 56 bits at most, so the number of its text fits beside it in a sort."""
+    out, upto = np.zeros(len(length)), np.append(0, np.cumsum(length))
+    for a in range(0, len(length), NUMBERED):
+        b = min(a + NUMBERED, len(length))
+        both = gram[upto[a] : upto[b]] << np.uint64(8)
+        both |= np.repeat(np.arange(b - a).astype(np.uint64), length[a:b])
+        both.sort()
+        some = both >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        at = np.minimum(np.searchsorted(keys, some[first]), len(keys) - 1)
+        if not (keys[at] == some[first]).all():
+            raise ValueError("keys of a block were not answered: the documents changed between two reads")
+        value = np.repeat(values[at], np.diff(np.append(first, len(some))))
+        both &= np.uint64(255)
+        out[a:b] = np.bincount(both.astype(np.int64), value, b - a)
+    return out
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+
+
+def _score(depth: int) -> Callable:
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = distinct_keys(texts, depth)
-        values = {_WORD: np.zeros(len(keys[_WORD]), np.int64), _GRAM: np.zeros(len(keys[_GRAM]))}
-        places = {kind: dict(dealt(some, bucket_of(kind, some, buckets, depth))) for kind, some in keys.items()}
-        for bucket, kind, found in zip(*(answers[c].to_pylist() for c in ("bucket", "kind", "found")), strict=True):
-            values[kind][places[kind][bucket]] = unpacked(found, np.int64 if kind == _WORD else np.float32)
-        del places, answers
-        gain = np.log10(values[_WORD] + 1.0)
+        words_, counts = answered(answers, _WORD, np.int64)
+        keys, values = answered(answers, _GRAM, np.float32)
+        del answers
+        gain = np.log10(counts + 1.0)
         n_tokens, known, base, scores = [], [], [], []
         for body, bounds in columns_of(texts):
             for first, last, part, cuts in chunked(body, bounds, SORTED_BYTES):
                 n = last - first
-                gram, begin = grams(part, cuts, depth)
-                some, at = np.unique(gram, return_inverse=True)
-                value = values[_GRAM][np.searchsorted(keys[_GRAM], some)][at]
-                scores.append(np.add.reduceat(value, begin))
+                scores.append(summed_by_text(*grams(part, cuts, depth), keys, values))
                 word, row = word_keys(part, cuts)
-                at = np.searchsorted(keys[_WORD], word)
+                at = np.searchsorted(words_, word)
                 n_tokens.append(np.bincount(row, minlength=n) + 1)
-                known.append(np.bincount(row[values[_WORD][at] > 0], minlength=n))
+                known.append(np.bincount(row[counts[at] > 0], minlength=n))
                 base.append(np.bincount(row, gain[at], n))
         columns = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, known, base, scores)]
         arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
@@ -398,7 +446,7 @@ def scored(docs: DataFrame, learns: Column | None = None, key: str = "doc_id", t
     blocks = max(1, -(-total // block_bytes))
     copies = -(-blocks // BLOCKS_OF_COPY)
 
-    counted = base.select("learns", "text").mapInArrow(_count(buckets, depth), COUNTED)
+    counted = base.select("learns", "text").mapInArrow(lean(_count(buckets, depth)), COUNTED)
     merged = stored(counted.groupBy("bucket", "kind").applyInArrow(_merge, MERGED))
     of_words = merged.where(F.col("kind") == _WORD).agg(F.sum("total").alias("n"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = ends + (of_words["n"] or 0), (1 if ends else 0) + (of_words["distinct"] or 0)
@@ -409,7 +457,7 @@ def scored(docs: DataFrame, learns: Column | None = None, key: str = "doc_id", t
     asked = dealt_texts.groupBy("block").applyInArrow(_ask(buckets, depth), ASKED).withColumn("copy", F.pmod("block", F.lit(copies)).cast("int"))
     model = merged.select("bucket", "kind", "keys", "counts").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     answers = model.groupBy("bucket", "copy").cogroup(asked.groupBy("bucket", "copy")).applyInArrow(_answer(upper, depth), ANSWERED)
-    got = dealt_texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, depth), SCORED)
+    got = dealt_texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth), SCORED)
     return got.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"), "score",
