@@ -18,10 +18,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import chunked, discard, gathered, in_pieces, mix, own, places_of, prepared, span_hashes, stored, table, utf8
+from bagflow.llm.common import chunked, discard, gathered, in_pieces, keyed, lean, mix, own, places_of, prepared, span_hashes, stored, table, utf8
 
 #: Bytes of a string that may not come again, and of the substrings whose hashes compete for its anchor.
 LENGTH, GRAM = 50, 16
@@ -173,16 +173,16 @@ def by_bucket(batches: Iterator[pa.RecordBatch], through: Callable[[pa.RecordBat
         yield now, held
 
 
-def opened(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
-    """Rows of a text's code and packed 64-bit numbers to a row for each number."""
+def opened(batch: pa.RecordBatch, name: str, *keys: str) -> pa.RecordBatch:
+    """Rows of keys and packed 64-bit numbers to a row for each number."""
     body, bounds = utf8(batch.column(name))
     times = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds) // 8))
-    return pa.RecordBatch.from_arrays([batch.column("text_code").take(times), pa.array(body.view(np.int64))], ["text_code", name])
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(times) for k in keys), pa.array(body.view(np.int64))], [*keys, name])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text_code, codes): the anchors of a text that stand in another text too, a row for each."""
-    for got in by_bucket(batches, lambda b: opened(b, "codes"), "subs"):
+    for got in by_bucket(batches, lambda b: opened(b, "codes", "text_code"), "subs"):
         if isinstance(got, pa.RecordBatch):
             yield got
             continue
@@ -195,11 +195,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(first, len(sub)))
         last = first + size - 1
         shared = np.repeat(text[first] != text[last], size)
-        yield _named(text[shared], (np.int64(bucket) << 32) | sub[shared].astype(np.int64), "codes")
-
-
-def _named(texts: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(texts), pa.array(values)], ["text_code", name])
+        yield pa.RecordBatch.from_arrays([pa.array(text[shared]), pa.array((np.int64(bucket) << 32) | sub[shared].astype(np.int64))], ["text_code", "codes"])
 
 
 # Step 2: contexts of shared anchors.
@@ -230,7 +226,7 @@ def packed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return begin.astype(np.int64) << 32 | end.astype(np.int64)
 
 
-CONTEXTS = "bucket int, text_code bigint, spans binary, subs binary, ids binary, texts binary, starts binary, sizes binary, body binary"
+CONTEXTS = "bucket int, text_code bigint, text_id bigint, spans binary, subs binary, ids binary, texts binary, starts binary, sizes binary, body binary"
 
 
 def alone(body: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, buckets: int) -> tuple:
@@ -281,7 +277,7 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
                 many = hot[np.minimum(np.searchsorted(hot, code), len(hot) - 1)] == code if len(hot) else np.zeros(len(code), bool)
                 if many.any():
                     c, r, place, of, a, b = alone(part, row[many], begin[many], end[many], ids[first:last], buckets)
-                    settled.append((names[first + of], a - cuts[of], b - cuts[of]))
+                    settled.append((first + of, a - cuts[of], b - cuts[of]))
                     size = np.full(len(c), LENGTH)
                     parts.append((c, first + r, place - cuts[r], size, span_hashes(part, place, place + size), gathered(part, place, size)))
                 row, begin, end, code = row[~many], begin[~many], end[~many], code[~many]
@@ -293,10 +289,10 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
             del parts
             place = np.cumsum(size) - size
             _, later = settle(code, ids[row], hashes, text, place, size)
-            settled.append((names[row[later]], start[later], start[later] + size[later]))
+            settled.append((row[later], start[later], start[later] + size[later]))
             who, a, b = (np.concatenate(x) for x in zip(*settled, strict=True))
             done, spans = blobs(who, packed(a, b))
-            yield _context_rows(done % buckets, done, spans, None)
+            yield _context_rows(names[done] % buckets, (names[done], ids[done]), spans, None)
             ask = np.flatnonzero(~later)
             ask = ask[np.argsort(code[ask] >> 32, kind="stable")]
             which = (code[ask] >> 32).astype(np.int32)
@@ -313,7 +309,8 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
 def _context_rows(bucket, text, spans, columns) -> pa.RecordBatch:
     n = len(bucket)
     empty = pa.nulls(n, pa.binary())
-    arrays = [pa.array(bucket.astype(np.int32)), pa.nulls(n, pa.int64()) if text is None else pa.array(text), empty if spans is None else spans, *(columns or [empty] * 6)]
+    who = [pa.nulls(n, pa.int64())] * 2 if text is None else [pa.array(x) for x in text]
+    arrays = [pa.array(bucket.astype(np.int32)), *who, empty if spans is None else spans, *(columns or [empty] * 6)]
     return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CONTEXTS.split(", ")])
 
 
@@ -445,15 +442,15 @@ def bucket_spans(sub: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.n
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_code, spans): removals of a text, a row for each, of contexts sorted by bucket."""
-    for got in by_bucket(batches, lambda b: opened(b, "spans"), "subs"):
+    """(text_code, text_id, spans): removals of a text, a row for each, of contexts sorted by bucket."""
+    for got in by_bucket(batches, lambda b: opened(b, "spans", "text_code", "text_id"), "subs"):
         if isinstance(got, pa.RecordBatch):
             yield got
             continue
         _, rows = got
         sub, ids, texts, start, size, body = (np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in (("subs", np.uint32), ("ids", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32), ("body", np.uint8)))
         context, begin, end = bucket_spans(sub, ids, start.astype(np.int64), size.astype(np.int64), body)
-        yield _named(texts[context], packed(begin, end), "spans")
+        yield pa.RecordBatch.from_arrays([pa.array(texts[context]), pa.array(ids[context]), pa.array(packed(begin, end))], ["text_code", "text_id", "spans"])
 
 
 def removed(size: int, spans: np.ndarray) -> np.ndarray:
@@ -473,26 +470,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(text[~mask].tobytes())
             gone.append(int(mask.sum()))
             runs.append(int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if len(mask) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["text_code", "kept", "n_removed", "n_spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["text_code", "id", "kept", "n_removed", "n_spans"])
 
 
 def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(code, first_id, spans): what the distinct texts that lose bytes lose, each in its smallest id.
 
-    base: text_code, id, text of all documents; first: text_code and its smallest id."""
+    base: text_code, id, text of all documents; first: text_code, a second hash of the text, and its smallest id. Two texts of one
+    code are told apart by their smallest ids."""
     if buckets is None:
         total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-total // BUCKET_BYTES))
-    asked = base.select("text_code", "text").mapInArrow(_asking(buckets), ASKED)
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "text_code bigint, codes bigint")
+    asked = base.select("text_code", "text").mapInArrow(lean(_asking(buckets)), ASKED)
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_answer), "text_code bigint, codes bigint")
     shared = stored(answers.groupBy("text_code").agg(F.collect_set("codes").alias("codes")))
     keyed = shared.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "codes")
     # an id beside the hash spreads the copies of one text
     met = base.join(keyed, (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "id", "text", "codes")
-    sent = met.mapInArrow(_contexts(buckets, hot_codes(shared, hot_texts)), CONTEXTS)
-    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_remove, "text_code bigint, spans bigint")
-    by_text = spans.groupBy("text_code").agg(F.collect_list("spans").alias("spans"))
-    return by_text.join(first, "text_code").select(F.col("text_code").alias("code"), "first_id", "spans")
+    sent = met.mapInArrow(lean(_contexts(buckets, hot_codes(shared, hot_texts))), CONTEXTS)
+    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_remove), "text_code bigint, text_id bigint, spans bigint")
+    return spans.groupBy(F.col("text_code").alias("code"), F.col("text_id").alias("first_id")).agg(F.collect_list("spans").alias("spans"))
 
 
 def hot_codes(shared: DataFrame, hot_texts: int) -> np.ndarray:
@@ -503,18 +500,24 @@ def hot_codes(shared: DataFrame, hot_texts: int) -> np.ndarray:
 
 
 def cut_texts(base: DataFrame, first: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """(text_code, kept, n_removed, n_spans) of the distinct texts that lose bytes.
+    """(text_code, id, kept, n_removed, n_spans) of the distinct texts that lose bytes, in their smallest ids.
 
     In one query with the search, so that the texts, dealt out for that, needn't be dealt out again."""
     keyed = spans_of(base, first, hot_texts=hot_texts)
-    met = base.join(keyed, (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "text", "spans")
-    return met.mapInArrow(_cut, "text_code bigint, kept binary, n_removed bigint, n_spans bigint")
+    met = base.join(keyed, (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("first_id"))).select("text_code", "text", "spans", "id")
+    return met.mapInArrow(lean(_cut), "text_code bigint, id bigint, kept binary, n_removed bigint, n_spans bigint")
+
+
+def second_code(text: Column | str) -> Column:
+    return F.xxhash64(F.lit(1), text)
 
 
 def based(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     body = F.coalesce(F.col(text), F.lit(""))
-    base = own(docs, id=F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), doc_id=F.col(key).cast("long"), text=body).withColumn("text_code", F.xxhash64("text"))
-    return base, stored(base.groupBy("text_code").agg(F.min("id").alias("first_id")))
+    base = own(docs, id=F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), doc_id=F.col(key).cast("long"), text=body)
+    # a text is only taken for another's copy if 128 bits agree
+    base = base.withColumns({"text_code": F.xxhash64("text"), "second": second_code("text")})
+    return base, stored(base.groupBy("text_code", "second").agg(F.min("id").alias("first_id")))
 
 
 def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_texts: int = HOT_TEXTS) -> DataFrame:
@@ -526,10 +529,10 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_
     prepared(docs.sparkSession)
     base, first = based(docs, key, text)
     cut = cut_texts(base.select("text_code", "id", "text"), first, hot_texts)
-    cut = cut.select("text_code", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256")).dropDuplicates(["text_code"])
-    known = first.join(cut, "text_code", "left")
-    light = base.select("doc_id", "id", "text_code", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
-    met = light.join(known, "text_code")
+    cut = cut.select("text_code", F.col("id").alias("first_id"), "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256")).dropDuplicates(["text_code", "first_id"])
+    known = first.join(cut, ["text_code", "first_id"], "left")
+    light = base.select("doc_id", "id", "text_code", "second", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    met = light.join(known, ["text_code", "second"])
     copy = (F.col("id") > F.col("first_id")) & (F.col("n_bytes") >= LENGTH)
     return met.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -547,7 +550,7 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
     base, first = based(docs, "doc_id", "text")
     found = spans_of(base.select("text_code", "id", "text"), first).select("code", F.col("first_id").alias("at"), "spans")
-    copies = base.select("text_code", "id", F.octet_length("text").cast("long").alias("n")).where(f"n >= {LENGTH}").join(first, "text_code").where("id > first_id")
+    copies = base.select("text_code", "second", "id", F.octet_length("text").cast("long").alias("n")).where(f"n >= {LENGTH}").join(first, ["text_code", "second"]).where("id > first_id")
     copies = copies.select(F.col("text_code").alias("code"), F.col("id").alias("at"), F.array("n").alias("spans")).dropDuplicates(["code", "at"])
     spans = stored(found.unionAll(copies))
     discard(first)
@@ -555,8 +558,7 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row_key"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"))
     rows = rows.withColumn("text_code", F.xxhash64(F.coalesce("text", F.lit(""))))
     met = rows.join(spans, (F.col("text_code") == F.col("code")) & (F.col("id") == F.col("at")), "left")
-    kind = rows.schema["row_key"].dataType.simpleString()
-    out = met.select("row_key", "text", "spans").mapInArrow(_rewrite, f"row_key {kind}, text string, cut boolean")
+    out = met.select("row_key", "text", "spans").mapInArrow(lean(_rewrite), keyed(rows, "text string, cut boolean"))
     size = F.when(F.col("cut"), F.length("text")).otherwise(F.col("row_key").getField("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
     return out.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col("row_key").getField(c).alias(c) for c in docs.columns])
 
