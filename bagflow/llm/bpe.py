@@ -22,7 +22,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import discard, own, prepared, stored, table
+from bagflow.llm.common import discard, keyed, lean, own, prepared, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Most frequent pieces of the corpus that are merged ahead and sent to all workers, at most.
@@ -30,7 +30,7 @@ FREQUENT = 200_000
 #: Rarer pieces a worker remembers; beyond that it begins anew, which costs time and changes nothing.
 REMEMBERED = 100_000
 #: Distinct pieces a counting task holds before it hands partial counts on.
-HELD_PIECES = 300_000
+HELD_PIECES = 200_000
 
 _NONE = np.int64(1 << 60)
 
@@ -220,7 +220,7 @@ def merged_ahead(texts: DataFrame, name: str, pattern: str, frequent: int) -> Br
 
     All documents are counted. Steps of an eighth of a power of two say from which count on pieces are few enough."""
     spark = texts.sparkSession
-    counts = stored(texts.mapInArrow(_pieces(pattern), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")))
+    counts = stored(texts.mapInArrow(lean(_pieces(pattern)), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")))
     steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("pieces"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
     least, total = 1 << 62, 0
     for step in steps:
@@ -229,7 +229,7 @@ def merged_ahead(texts: DataFrame, name: str, pattern: str, frequent: int) -> Br
             break
         least = step["least"]
     chosen = counts.where(F.col("n") >= least).select("piece").repartition(4, "piece")
-    got = chosen.mapInArrow(_replayed(name), "piece string, ids binary").toArrow()
+    got = chosen.mapInArrow(lean(_replayed(name)), "piece string, ids binary").toArrow()
     discard(counts)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, got.schema) as writer:
@@ -241,19 +241,22 @@ def merged_ahead(texts: DataFrame, name: str, pattern: str, frequent: int) -> Br
 
 
 class Known:
-    """Pieces and their ids in a worker: the frequent ones for good, others as they come."""
+    """Pieces and their ids in a task: the frequent ones for good, others as they come."""
 
     def __init__(self, vocab: Vocabulary, packed: bytes):
         frequent = pa.ipc.open_stream(packed).read_all()
         self.vocab = vocab
-        self.frequent = dict(zip(frequent["piece"].to_pylist(), frequent["ids"].to_pylist(), strict=True))
-        self.ids = dict(self.frequent)
+        self.ids = dict(zip(frequent["piece"].to_pylist(), frequent["ids"].to_pylist(), strict=True))
+        self.rare: list[str] = []
 
     def learn(self, pieces: set[str]) -> None:
         new = list(pieces - self.ids.keys())
-        if new and len(self.ids) + len(new) > len(self.frequent) + REMEMBERED:
-            self.ids = dict(self.frequent)
+        if len(self.rare) + len(new) > REMEMBERED:
+            for piece in self.rare:
+                del self.ids[piece]
+            self.rare = []
             new = list(pieces - self.ids.keys())
+        self.rare += new
         self.ids.update(zip(new, replay([piece.encode() for piece in new], self.vocab), strict=True))
 
 
@@ -306,22 +309,20 @@ def encoded(docs: DataFrame, text: str = "text", name: str = VOCABULARY, pattern
     prepared(docs.sparkSession)
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]).alias("row_key"), F.col(f"`{text}`").alias("text"))
     shared = merged_ahead(frame.select("text"), name, pattern, frequent)
-    return frame.mapInArrow(_encoder(name, pattern, shared), f"row_key {frame.schema['row_key'].dataType.simpleString()}, ids binary")
+    return frame.mapInArrow(lean(_encoder(name, pattern, shared)), keyed(frame, "ids binary"))
 
 
 def decoded(frame: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """row_key, ids and decoded, the bytes that the ids stand for."""
-    kind = frame.schema["row_key"].dataType.simpleString()
-    return frame.select("row_key", "ids").mapInArrow(_decoder(name), f"row_key {kind}, ids binary, decoded binary")
+    return frame.select("row_key", "ids").mapInArrow(lean(_decoder(name)), keyed(frame, "ids binary, decoded binary"))
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; null and empty texts have no tokens."""
     prepared(docs.sparkSession)
     frame = own(docs, row_key=key, text=text)
-    kind = frame.schema["row_key"].dataType.simpleString()
     shared = merged_ahead(frame.select("text"), name, public_tokenizers.PATTERN, frequent)
-    got = frame.mapInArrow(_both(name, public_tokenizers.PATTERN, shared), f"row_key {kind}, ids binary, decoded binary")
+    got = frame.mapInArrow(lean(_both(name, public_tokenizers.PATTERN, shared)), keyed(frame, "ids binary, decoded binary"))
     return got.select(
         F.col("row_key").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

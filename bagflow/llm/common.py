@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch and bytes of a batch that a Python kernel takes at once.
 BATCH_ROWS = 2000
@@ -32,17 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with small Arrow batches, alike for all operators; the shared folder must be known."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     shared_dir(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints (spark.checkpoint.dir). Without one nothing is written: a local folder would be lost to
-    the other machines."""
+    """The cluster's folder for checkpoints (spark.checkpoint.dir). Where it is unset, a session on this machine alone, as in tests,
+    gets a folder of its own; on a cluster that is an error, as the other machines would not see it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder)
@@ -102,11 +107,30 @@ def discard(*frames: DataFrame | None) -> None:
             removed_from(frame.sparkSession, [frame.stored_at])
 
 
+def lean(kernel: Callable) -> Callable:
+    """A kernel over Arrow batches after which its Python worker, which goes on to other tasks, gives back the memory it has freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def own(df: DataFrame, **columns: Column | str) -> DataFrame:
     """Only the named columns, under names of the operator's own, so that further columns of the input can't clash."""
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def keyed(frame: DataFrame, rest: str) -> StructType:
+    """The schema of a kernel that hands a frame's row_key on, with the columns of `rest` after it."""
+    return StructType([frame.schema["row_key"], *frame.sparkSession.createDataFrame([], rest).schema.fields])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the bounds of its rows; null is empty."""
     if column.null_count:

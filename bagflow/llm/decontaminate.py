@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import LOWER, chunked, discard, mix, own, prepared, span_hashes, stored, table, utf8, words
+from bagflow.llm.common import LOWER, chunked, discard, keyed, lean, mix, own, prepared, span_hashes, stored, table, utf8, words
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score at which a passage retrieves it.
@@ -262,7 +262,7 @@ def indexes(items: DataFrame, key: str = "item_id", text: str = "text", index_by
     for kind, total in sizes.items():
         number = F.when(F.col("kind") == kind, F.lit(-(-total // index_bytes))).otherwise(number)
     base = base.withColumn("part", F.concat_ws(":", "kind", F.pmod(F.xxhash64("text"), number)))
-    counted = stored(base.select("part", "text").mapInArrow(_terms, "part string, term bigint, n bigint"))
+    counted = stored(base.select("part", "text").mapInArrow(lean(_terms), "part string, term bigint, n bigint"))
     whole = counted.where("term is null").agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean")).first()
     df = counted.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     by_part = stored(counted.where("term is not null").select("part", "term").distinct().join(df, "term"))
@@ -290,7 +290,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     schema = "row_key bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in indexes(items):
-        out = out.unionAll(base.mapInArrow(_finder(shared), schema))
+        out = out.unionAll(base.mapInArrow(lean(_finder(shared)), schema))
     return out.withColumnRenamed("row_key", "doc_id")
 
 
@@ -300,14 +300,14 @@ def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     task holds one: what the one before left is stored."""
     prepared(spark)
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"), F.col("text"))
-    schema = f"row_key {frame.schema['row_key'].dataType.simpleString()}, text string"
+    schema = keyed(frame, "text string")
     before = None
     for n, shared in enumerate(indexes(table(spark, sf_dir, "benchmark"))):
         if n:
             frame = stored(frame)
             discard(before)
             before = frame
-        frame = frame.mapInArrow(_clean(shared), schema)
+        frame = frame.mapInArrow(lean(_clean(shared)), schema)
     return frame.select(*[F.col("row_key").getField(c).alias(c) for c in docs.columns])
 
 

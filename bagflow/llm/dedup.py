@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import chunked, discard, own, prepared, stored, table, utf8
+from bagflow.llm.common import chunked, discard, lean, own, prepared, stored, table, utf8
 from bagflow.llm.minhash import BANDS, BINS, bands, set_key, shingle_sets, short, signatures
 
 #: Linked if 100 * intersection >= PERCENT * union; the query of operator 2 asks for 85.
@@ -26,7 +26,7 @@ LEAVES = 256
 #: Members of a bucket whose pairs are compared one by one; larger buckets are closed in blocks.
 SMALL = 24
 #: Members and shingles of a chunk; a block is two chunks of a bucket.
-CHUNK_ROWS, CHUNK_SHINGLES = 1000, 1_000_000
+CHUNK_ROWS, CHUNK_SHINGLES = 500, 500_000
 #: Columns of a matrix product.
 COLUMNS = 4096
 #: Rows of ids (16 bytes each) that may be sent to every task to pick texts where they are read; more are joined.
@@ -231,9 +231,9 @@ def _like(n: str, m: str, percent: int) -> Column:
 def _confirmed(pairs: DataFrame, signed: DataFrame, texts: Callable, percent: int) -> DataFrame:
     """The pairs (leaf, hub) that are linked, as stored edges (a, b): signatures first, then whole sets."""
     sigs = signed.select("node", "n", F.col("sig").alias("value"))
-    close = stored(starred(pairs, sigs).mapInArrow(_agree(percent / 100), "leaf binary, hub binary"))
+    close = stored(starred(pairs, sigs).mapInArrow(lean(_agree(percent / 100)), "leaf binary, hub binary"))
     bodies = texts(close.select(F.col("leaf").alias("node")).unionAll(close.select(F.col("hub").alias("node"))))
-    met = starred(close, bodies.withColumn("n", F.lit(0))).mapInArrow(_compare, "a binary, b binary, inter bigint, union bigint")
+    met = starred(close, bodies.withColumn("n", F.lit(0))).mapInArrow(lean(_compare), "a binary, b binary, inter bigint, union bigint")
     found = stored(met.where(100 * F.col("inter") >= percent * F.col("union")).select("a", "b"))
     discard(close, bodies)
     return found
@@ -252,7 +252,7 @@ def _labels(classes: DataFrame, coded: DataFrame, percent: int) -> DataFrame | N
         discard(wanted)
         return out
 
-    members = signed.mapInArrow(_band, "node binary, n int, band bigint")
+    members = signed.mapInArrow(lean(_band), "node binary, n int, band bigint")
     hubs = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("one"), F.min(F.struct(F.xxhash64("node", "band").alias("x"), "node", "n")).alias("two")
     ).where("size > 1")
@@ -300,7 +300,7 @@ def _closed(large: DataFrame, texts: Callable, percent: int) -> DataFrame:
     block = F.struct("band", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
     bodies = texts(large.select("node"))
     rows = dealt.select(block.alias("block"), "chunk", "node", "comp").join(bodies, "node").select(F.to_json("block").alias("block"), "chunk", "node", "comp", "value")
-    out = stored(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(percent), "a binary, b binary"))
+    out = stored(rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_blocks(percent)), "a binary, b binary"))
     discard(bodies)
     return out
 
@@ -316,7 +316,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     prepared(docs.sparkSession)
     base = own(docs, doc_id=F.col(key).cast("long"), text=text)
     coded = base.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_code"), "text")
-    sketch = stored(coded.mapInArrow(_sketch(percent), SKETCH))
+    sketch = stored(coded.mapInArrow(lean(_sketch(percent)), SKETCH))
     # the class's row of the least id, null being the last
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_code", "n_shingles", "sig")
     classes = sketch.where("n_shingles > 0").groupBy("class").agg(F.min(ordered).alias("x")).select("class", *[f"x.{c}" for c in ("doc_id", "text_code", "n_shingles", "sig")])

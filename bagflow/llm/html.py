@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import discard, own, prepared, stored, table
+from bagflow.llm.common import discard, lean, own, prepared, stored, table
 
 #: A subtree is template where so many pages, and such a share of the pages, of one host have it.
 MIN_PAGES, MIN_SHARE = 5, 0.2
@@ -304,7 +304,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     spark = prepared(pages.sparkSession)
     base = own(pages, page_id=F.col(key).cast("long"), url=url, html=html)
     keyed = base.withColumn("row_key", F.xxhash64("page_id", "url", "html"))
-    seen = keyed.select("row_key", "url", "html").mapInArrow(_hashes, "row_key bigint, host string, codes array<bigint>")
+    seen = keyed.select("row_key", "url", "html").mapInArrow(lean(_hashes), "row_key bigint, host string, codes array<bigint>")
     each = seen.select("row_key", "host", F.explode("codes").alias("code"))
     # the host's size is wanted beside its hashes: a row of its own with no hash
     sizes = own(base, host=F.coalesce(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -315,9 +315,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     if template.count() <= sent_hashes:
         sent = np.array([r[0] for r in template.collect()], np.int64)
         discard(template)
-        return base.mapInArrow(_extractor(sent), schema)
+        return base.mapInArrow(lean(_extractor(sent)), schema)
     mine = each.join(template, "code").groupBy("row_key").agg(F.collect_set("code").alias("codes"))
-    return keyed.join(mine, "row_key", "left").select("page_id", "url", "html", "codes").mapInArrow(_extractor(None), schema)
+    return keyed.join(mine, "row_key", "left").select("page_id", "url", "html", "codes").mapInArrow(lean(_extractor(None)), schema)
 
 
 def op1_html(spark, sf_dir):
