@@ -74,8 +74,9 @@ def test_last_stage_and_run(spark, docs, sf_dir):
     got = STAGES["byte_level_bpe"](spark, docs, sf_dir)
     assert got.count() == len(rows()) and {"ids", "n_tokens", "lang", "source"} <= set(got.columns)
     out = corpus_pipeline.run(spark, sf_dir)
-    ids = [r["doc_id"] for r in out.collect()]
-    assert len(set(ids)) == len(ids) and 132 in ids and not {121, 130, 133} & set(ids)
+    found = [(r["doc_id"], r["ids_sha256"]) for r in out.collect()]
+    ids = {i for i, _ in found}
+    assert len(set(found)) == len(found) and 132 in ids and not {121, 130, 133} & ids
 
 
 def test_clashing_columns(spark, sf_dir):
