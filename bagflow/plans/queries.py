@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagflow.functions import Fold, bottom_k, collect, const, count, distinct_set, from_fold, from_monoid, from_reduce, integer_sum, max_, mean, min_, sum_, top_k
-from bagflow.operators import Dataset
+from bagflow.operators import Dataset, Options, Throttle, fork_concurrently
+from bagflow.plans.context import run
 from bagflow.sources import Partition, events, external, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +126,13 @@ def coalesce_rows(spark, d):
     return table(spark, d, "orders").coalesce(2).aggr_frame(count(), "n")
 
 
+@query("select 2 as parts, count(*) as n from orders")
+def coalesce_before_pipe(spark, d):
+    """pipe is called once for each of the partitions that coalesce leaves."""
+    parts = table(spark, d, "orders").partition(8, "o_custkey").coalesce(2).pipe(lambda rows: ({"n": sum(1 for _ in rows)},), "n bigint")
+    return parts.frame.agg(F.count(F.lit(1)).cast("int").alias("parts"), F.sum("n").alias("n"))
+
+
 @query("select distinct user_id, event_type from events")
 def distinct_rows(spark, d):
     return table(spark, d, "events").map("user_id", "event_type").distinct(10).frame
@@ -323,6 +331,38 @@ def aggr_apply_range(spark, d):
     return table(spark, d, "orders").grouped_aggr("o_orderpriority", max_("o_totalprice").apply(min_("o_totalprice"), lambda a, b: F.round(a - b, 2)), name="width").frame
 
 
+@query(
+    "select o_orderpriority, n, o_orderkey from (select o_orderpriority, o_orderkey, count(*) over (partition by o_orderpriority) as n, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as nth from orders) where nth <= 3"
+)
+def aggr_apply_topk_and_count(spark, d):
+    """Top-k beside a count: ranks and a partial aggregate, which meet by the group."""
+    both = top_k(3, lambda r: F.struct(r["o_totalprice"], -r["o_orderkey"]), "o_orderkey").apply(count(), lambda a, b: F.struct(a.alias("top"), b.alias("n")))
+    rows = table(spark, d, "orders").grouped_aggr("o_orderpriority", both)
+    return rows.concat_map(F.col("value.top"), "o_orderkey", keep=["o_orderpriority", "value"]).map("o_orderpriority", "o_orderkey", "value.n").frame
+
+
+# Actions and tasks.
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey = 1")
+def fetch_rows(spark, d):
+    """Rows as a stream on the driver, and a frame of them again."""
+    rows = table(spark, d, "nation").filter("n_regionkey = 1").map("n_nationkey", "n_name").fetch()
+    return spark.createDataFrame([tuple(r) for r in rows], "n_nationkey int, n_name string")
+
+
+@query("select r_regionkey, r_name from region")
+def to_list_rows(spark, d):
+    return spark.createDataFrame([tuple(r) for r in run(spark, lambda s: table(s, d, "region").map("r_regionkey", "r_name").to_list(), "ERROR")], "r_regionkey int, r_name string")
+
+
+@query("select v, v * v as square from range(0, 12) t(v)")
+def fork_squares(spark, d):
+    """Single tasks on executors, at most four at once, results in order."""
+    squares = fork_concurrently(spark, [lambda i=i: i * i for i in range(12)], Options(progress=False, throttle=Throttle(4)))
+    return spark.createDataFrame(list(enumerate(squares)), "v bigint, square bigint")
+
+
 # Sources.
 
 
