@@ -107,16 +107,43 @@ def discard(*frames: DataFrame | None) -> None:
             removed_from(frame.sparkSession, [frame.stored_at])
 
 
+def give_back() -> None:
+    """The Python worker, which goes on to other work, returns the memory it has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(kernel: Callable) -> Callable:
-    """A kernel over Arrow batches after which its Python worker, which goes on to other tasks, gives back the memory it has freed."""
+    """A kernel over Arrow batches that gives its memory back at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from kernel(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
+
+    return run
+
+
+def lean_groups(kernel: Callable) -> Callable:
+    """The same for a kernel over the tables of a group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return kernel(group)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_cogroups(kernel: Callable) -> Callable:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return kernel(left, right)
+        finally:
+            give_back()
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagflow.llm.common import LOWER, chunked, lean, mix, prepared, span_hashes, stored, table, utf8, words
+from bagflow.llm.common import LOWER, chunked, lean, lean_cogroups, lean_groups, mix, prepared, span_hashes, stored, table, utf8, words
 
 #: Documents whose crc32 of the id has this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
@@ -30,9 +30,9 @@ DEPTH, TOP = 6, 2
 #: Text bytes of a block of documents, those that a bucket of keys stands for, and blocks that one copy of a bucket answers.
 BLOCK_BYTES, BUCKET_BYTES, BLOCKS_OF_COPY = 16 << 20, 8 << 20, 2000
 #: Text bytes whose keys are sorted at once.
-SORTED_BYTES = 4 << 20
+SORTED_BYTES = 1 << 20
 #: Distinct keys a counting task holds before it hands partial counts on.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_500_000
 #: Never a byte of UTF-8: stands before a text and, coded as its last symbol, after it.
 EDGE = 255
 
@@ -323,6 +323,9 @@ def distinct_keys(texts: pa.Table, depth: int) -> dict[int, np.ndarray]:
         for _, _, part, cuts in chunked(body, bounds, SORTED_BYTES):
             found[_GRAM].append(distinct(grams(part, cuts, depth)[0]))
             found[_WORD].append(distinct(word_keys(part, cuts)[0]))
+            for kind, parts in found.items():
+                if len(parts) > 4:
+                    found[kind] = [distinct(np.concatenate(parts))]
     return {kind: distinct(np.concatenate(parts)) for kind, parts in found.items()}
 
 
@@ -375,8 +378,8 @@ NUMBERED = 256
 def answered(answers: pa.Table, kind: int, value: type) -> tuple[np.ndarray, np.ndarray]:
     """What all buckets have answered a block: ascending keys and their values."""
     of_kind = answers.filter(pc.equal(answers["kind"], kind))
-    keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x, np.uint64) for x in of_kind["keys"].to_pylist())])
-    values = np.concatenate([np.zeros(0, value), *(unpacked(x, value) for x in of_kind["found"].to_pylist())])
+    keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x.as_py(), np.uint64) for x in of_kind["keys"])])
+    values = np.concatenate([np.zeros(0, value), *(unpacked(x.as_py(), value) for x in of_kind["found"])])
     order = np.argsort(keys)
     return keys[order], values[order]
 
@@ -447,17 +450,17 @@ def scored(docs: DataFrame, learns: Column | None = None, key: str = "doc_id", t
     copies = -(-blocks // BLOCKS_OF_COPY)
 
     counted = base.select("learns", "text").mapInArrow(lean(_count(buckets, depth)), COUNTED)
-    merged = stored(counted.groupBy("bucket", "kind").applyInArrow(_merge, MERGED))
+    merged = stored(counted.groupBy("bucket", "kind").applyInArrow(lean_groups(_merge), MERGED))
     of_words = merged.where(F.col("kind") == _WORD).agg(F.sum("total").alias("n"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = ends + (of_words["n"] or 0), (1 if ends else 0) + (of_words["distinct"] or 0)
     upper = spark.sparkContext.broadcast(upper_of(merged, depth))
 
     block = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks))
     dealt_texts = base.select(block.alias("block"), "doc_id", (~F.col("learns")).alias("held_out"), "text").repartition("block")
-    asked = dealt_texts.groupBy("block").applyInArrow(_ask(buckets, depth), ASKED).withColumn("copy", F.pmod("block", F.lit(copies)).cast("int"))
+    asked = dealt_texts.groupBy("block").applyInArrow(lean_groups(_ask(buckets, depth)), ASKED).withColumn("copy", F.pmod("block", F.lit(copies)).cast("int"))
     model = merged.select("bucket", "kind", "keys", "counts").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    answers = model.groupBy("bucket", "copy").cogroup(asked.groupBy("bucket", "copy")).applyInArrow(_answer(upper, depth), ANSWERED)
-    got = dealt_texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth), SCORED)
+    answers = model.groupBy("bucket", "copy").cogroup(asked.groupBy("bucket", "copy")).applyInArrow(lean_cogroups(_answer(upper, depth)), ANSWERED)
+    got = dealt_texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_cogroups(_score(depth)), SCORED)
     return got.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"), "score",
