@@ -40,7 +40,7 @@ P_SCOPE = frozenset("td th table body html button".split())
 DROP_TAGS = frozenset("nav footer aside form head button select dialog menu search".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROP_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond reply replies disqus discussion related recommended pagination pager toolbar skip".split()
+    "alert alerts announcement nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond reply replies disqus discussion related recommended pagination pager searchbox toolbar skip".split()
 )
 #: An article of this kind is a reader's comment.
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
@@ -62,6 +62,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 HOST = re.compile(r"://([^/?#]*)")
 PARTS = re.compile(r"[-_]+")
 SIZE = re.compile(r"\d+(?:x\d+)?\Z")
+CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 
 def host_of(url: str | None) -> str:
@@ -72,7 +73,8 @@ def host_of(url: str | None) -> str:
 def named(value: str, words: frozenset) -> bool:
     """Whether one of a class or id attribute's names is made of these words."""
     for one in value.split():
-        parts = set(PARTS.split(one)) - {""}
+        # "leftSidebar" is left-sidebar and "ad2" another ad
+        parts = {x if SIZE.match(x) else x.rstrip("0123456789") for x in PARTS.split(CAMEL.sub(r"\1-\2", one).lower())} - {""}
         if not parts & LAYOUT and (rest := parts - words) != parts and all(x in BESIDE or x in DROP_WORDS or x in DROP_OUTSIDE or SIZE.match(x) for x in rest):
             return True
     return False
@@ -88,12 +90,13 @@ def dropped(tag: str, attributes: str, in_article: bool) -> bool:
     names = COMMENT_WORDS if tag == "article" else DROP_WORDS if in_article else DROP_WORDS | DROP_OUTSIDE
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
-        value = (values[0] or values[1] or values[2]).lower()
+        given = values[0] or values[1] or values[2]
+        value = given.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
         if name == "role" and value.strip() in DROP_ROLES:
             return True
-        if name in ("class", "id") and named(value, names):
+        if name in ("class", "id") and named(given, names):
             return True
     return False
 

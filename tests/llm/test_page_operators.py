@@ -142,6 +142,8 @@ def test_nested_templates_and_comments():
     assert [html.read_page(page, "h", known.__contains__)[0] for page in pages] == [f"own {i}" for i in range(12)]
     page = "<article>Text<p class='notice-board'>board</p><p class='ad-hoc'>hoc</p><div class='comment-list'>c</div><div id=site-footer>f</div><div class='ad-728x90'>a</div><article class='comment'>reader</article></article>"
     assert html.read_page(page, "h", None)[0] == "Text board hoc"
+    page = "<body><div id=leftSidebar>s</div><div class='ad2'>a</div><div class='topAd'>b</div><div class='alert alert-box'>n</div><p class='adult'>Text</p><div class='headline-news'>more</div>"
+    assert html.read_page(page, "h", None)[0] == "Text more"
 
 
 @pytest.mark.parametrize("sent", [200_000, 0])
