@@ -28,11 +28,11 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of context, six at most (a key and the number of a text share 64 bits), and those of them that name a bucket.
 DEPTH, TOP = 6, 2
 #: Text bytes of a block of documents, those that a bucket of keys stands for, and blocks that one copy of a bucket answers.
-BLOCK_BYTES, BUCKET_BYTES, BLOCKS_OF_COPY = 16 << 20, 8 << 20, 2000
+BLOCK_BYTES, BUCKET_BYTES, BLOCKS_OF_COPY = 10 << 20, 8 << 20, 3000
 #: Text bytes whose keys are sorted at once.
 SORTED_BYTES = 1 << 20
 #: Distinct keys a counting task holds before it hands partial counts on.
-HELD_KEYS = 1_500_000
+HELD_KEYS = 1_000_000
 #: Never a byte of UTF-8: stands before a text and, coded as its last symbol, after it.
 EDGE = 255
 
@@ -324,7 +324,7 @@ def distinct_keys(texts: pa.Table, depth: int) -> dict[int, np.ndarray]:
             found[_GRAM].append(distinct(grams(part, cuts, depth)[0]))
             found[_WORD].append(distinct(word_keys(part, cuts)[0]))
             for kind, parts in found.items():
-                if len(parts) > 4:
+                if len(parts) > 2:
                     found[kind] = [distinct(np.concatenate(parts))]
     return {kind: distinct(np.concatenate(parts)) for kind, parts in found.items()}
 
