@@ -28,9 +28,11 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of context, six at most (a key and the number of a text share 64 bits), and those of them that name a bucket.
 DEPTH, TOP = 6, 2
 #: Text bytes of a block of documents, those that a bucket of keys stands for, and blocks that one copy of a bucket answers.
-BLOCK_BYTES, BUCKET_BYTES, BLOCKS_OF_COPY = 10 << 20, 8 << 20, 3000
+BLOCK_BYTES, BUCKET_BYTES, BLOCKS_OF_COPY = 16 << 20, 8 << 20, 2000
 #: Text bytes whose keys are sorted at once.
 SORTED_BYTES = 1 << 20
+#: Keys of a bucket that are made a tree at once, about so many at most, but for those of one context of TOP bytes.
+TREE_KEYS = 40_000
 #: Distinct keys a counting task holds before it hands partial counts on.
 HELD_KEYS = 1_000_000
 #: Never a byte of UTF-8: stands before a text and, coded as its last symbol, after it.
@@ -249,21 +251,34 @@ class Tree:
         return out, seen
 
 
+def subtrees(keys: np.ndarray, depth: int) -> Iterator[slice]:
+    """A bucket's ascending keys in runs of about TREE_KEYS; those of one context of TOP bytes stay together."""
+    near = keys >> np.uint64(8 * (depth + 1 - TOP))
+    edge = np.append(np.flatnonzero(near[1:] != near[:-1]) + 1, len(keys))
+    begin = 0
+    while begin < len(keys):
+        end = int(edge[min(np.searchsorted(edge, begin + TREE_KEYS), len(edge) - 1)])
+        yield slice(begin, end)
+        begin = end
+
+
 def _upper(depth: int) -> Callable:
     """(last, node, below, one, total): the decisions in contexts of one byte, from a bucket's contexts of TOP bytes."""
 
     def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree = Tree(unpacked(keys, np.uint64), unpacked(counts, np.int64), depth)
-                top = tree.depths[TOP]
-                for level in range(8):
-                    some = top.keys[top.first[level]]
-                    node = (1 << level) | ((some & np.uint64(255)) >> np.uint64(8 - level)).astype(np.int64)
-                    place = (some >> np.uint64(16)).astype(np.int64) << 8 | node
-                    which, at = np.unique(place, return_inverse=True)
-                    sums = [np.bincount(at, x, len(which)) for x in (tree.weighted[level], top.one[level], top.total[level])]
-                    yield _rows(place=which, below=sums[0], one=sums[1], total=sums[2])
+            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
+                keys, counts = unpacked(keys.as_py(), np.uint64), unpacked(counts.as_py(), np.int64)
+                for part in subtrees(keys, depth):
+                    tree = Tree(keys[part], counts[part], depth)
+                    top = tree.depths[TOP]
+                    for level in range(8):
+                        some = top.keys[top.first[level]]
+                        node = (1 << level) | ((some & np.uint64(255)) >> np.uint64(8 - level)).astype(np.int64)
+                        place = (some >> np.uint64(16)).astype(np.int64) << 8 | node
+                        which, at = np.unique(place, return_inverse=True)
+                        sums = [np.bincount(at, x, len(which)) for x in (tree.weighted[level], top.one[level], top.total[level])]
+                        yield _rows(place=which, below=sums[0], one=sums[1], total=sums[2])
 
     return upper
 
@@ -301,12 +316,13 @@ def upper_of(merged: DataFrame, depth: int) -> Upper:
 
 def log_scores(keys: np.ndarray, counts: np.ndarray, upper: Upper, depth: int) -> np.ndarray:
     """log10 probability of each key's symbol in its context, from a bucket's keys and the upper depths."""
-    tree = Tree(keys, counts, depth)
     last, symbol = (keys >> np.uint64(8 * depth)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
     out = np.zeros(len(keys))
-    for level in range(8):
-        node, bit = (1 << level) | (symbol >> (8 - level)), symbol >> (7 - level) & 1
-        out += np.log10(upper.mixed(last, node, bit, *tree.mixed(level)))
+    for part in subtrees(keys, depth):
+        tree = Tree(keys[part], counts[part], depth)
+        for level in range(8):
+            node, bit = (1 << level) | (symbol[part] >> (8 - level)), symbol[part] >> (7 - level) & 1
+            out[part] += np.log10(upper.mixed(last[part], node, bit, *tree.mixed(level)))
     return out
 
 
