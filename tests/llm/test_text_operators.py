@@ -478,6 +478,18 @@ def test_context_tree_weighting(spark):
         assert collections.Counter((r["doc_id"], round(r["score"], 3)) for r in got.collect()) == want
 
 
+def test_trees_in_parts(monkeypatch):
+    """A bucket that is weighed in many parts gives what it gives as one tree."""
+    rng = np.random.default_rng(8)
+    body = rng.choice(np.frombuffer(b"abcd ", np.uint8), 4000)
+    keys, counts = np.unique(lm.grams(body, np.array([0, 1500, 4000]), 4)[0], return_counts=True)
+    upper = lm.Upper(*(rng.integers(0, 9, (256, 256)).astype(float) for _ in range(2)), rng.random((256, 256)), rng.random(256))
+    upper.total += upper.one
+    whole = lm.log_scores(keys, counts, upper, 4)
+    monkeypatch.setattr(lm, "TREE_KEYS", 20)
+    assert len(list(lm.subtrees(keys, 4))) > 10 and np.allclose(lm.log_scores(keys, counts, upper, 4), whole)
+
+
 def test_lm_on_held_out_texts(spark):
     """Six bytes of context need far fewer bits than the 2.7 of two, and a text seen in training scores better than it would unseen."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
