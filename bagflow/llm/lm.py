@@ -34,7 +34,9 @@ SORTED_BYTES = 1 << 20
 #: Keys of a bucket that are made a tree at once, about so many at most, but for those of one context of TOP bytes.
 TREE_KEYS = 40_000
 #: Distinct keys a counting task holds before it hands partial counts on.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 1_500_000
+#: Keys of partial counts that wait to be added to those of their bucket, at least.
+MERGED_KEYS = 250_000
 #: Never a byte of UTF-8: stands before a text and, coded as its last symbol, after it.
 EDGE = 255
 
@@ -161,10 +163,17 @@ def _count(buckets: int, depth: int) -> Callable:
 
 
 def _merge(group: pa.Table) -> pa.Table:
-    keys = np.concatenate([unpacked(x, np.uint64) for x in group["keys"].to_pylist()])
-    counts = np.concatenate([unpacked(x, np.uint32) for x in group["counts"].to_pylist()]).astype(np.int64)
-    keys, counts = summed(keys, counts)
-    return pa.Table.from_batches([_rows(bucket=group["bucket"].chunk(0)[:1], kind=group["kind"].chunk(0)[:1], keys=[packed(keys)], counts=[packed(counts)], total=pa.array([int(counts.sum())], pa.int64()), distinct=pa.array([int((counts > 0).sum())], pa.int64()))])
+    """A bucket's distinct keys with their sums; partial counts are added a part at a time."""
+    keys, counts, waiting = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for some, times in zip(group["keys"], group["counts"], strict=True):
+        keys.append(unpacked(some.as_py(), np.uint64))
+        counts.append(unpacked(times.as_py(), np.uint32).astype(np.int64))
+        waiting += len(keys[-1])
+        if waiting > max(MERGED_KEYS, len(keys[0])):
+            one, sums = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, waiting = [one], [sums], 0
+    one, sums = summed(np.concatenate(keys), np.concatenate(counts))
+    return pa.Table.from_batches([_rows(bucket=group["bucket"].chunk(0)[:1], kind=group["kind"].chunk(0)[:1], keys=[packed(one)], counts=[packed(sums)], total=pa.array([int(sums.sum())], pa.int64()), distinct=pa.array([int((sums > 0).sum())], pa.int64()))])
 
 
 # The tree.
