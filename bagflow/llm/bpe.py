@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -181,6 +182,27 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
 # The corpus' pieces.
 
 
+@functools.lru_cache(maxsize=1)
+def written_out() -> re.Pattern:
+    """PATTERN for the standard library's matcher, which is much faster: its classes as code points, below U+10000 only."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    letter, number, white = ("".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(kind + "+", every)) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """What gives a text's matches of the pattern."""
+    whole = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return whole
+    below = written_out().findall
+
+    def split(text: str) -> list[str]:
+        return below(text) if text.isascii() or 2 * len(text) == len(text.encode("utf-16-le")) else whole(text)
+
+    return split
+
+
 def _pieces(pattern: str) -> Callable:
     """(piece, n): how often each piece stands in a task's texts, in parts."""
 
@@ -190,7 +212,7 @@ def _pieces(pattern: str) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000], pa.string()), pa.array(times[i : i + 50_000], pa.int64())], ["piece", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = regex.compile(pattern).findall, Counter()
+        split, counts = splitter(pattern), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
@@ -250,18 +272,18 @@ class Known:
         self.rare: list[str] = []
 
     def learn(self, pieces: set[str]) -> None:
-        new = list(pieces - self.ids.keys())
+        new = list(pieces.difference(self.ids))
         if len(self.rare) + len(new) > REMEMBERED:
             for piece in self.rare:
                 del self.ids[piece]
             self.rare = []
-            new = list(pieces - self.ids.keys())
+            new = list(pieces.difference(self.ids))
         self.rare += new
         self.ids.update(zip(new, replay([piece.encode() for piece in new], self.vocab), strict=True))
 
 
-def encode_batch(texts: Iterable[str | None], known: Known, pattern: regex.Pattern) -> list[bytes]:
-    split = [pattern.findall(text) if text else [] for text in texts]
+def encode_batch(texts: Iterable[str | None], known: Known, found: Callable[[str], list[str]]) -> list[bytes]:
+    split = [found(text) if text else [] for text in texts]
     known.learn(set().union(*split))
     find = known.ids.__getitem__
     return [b"".join(map(find, pieces)) for pieces in split]
@@ -275,9 +297,9 @@ def decode_batch(ids: list[bytes], vocab: Vocabulary) -> list[bytes]:
 def _encoder(name: str, pattern: str, shared: Broadcast) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # for the length of the task: a worker that goes on to other work holds nothing
-        known, compiled = Known(vocabulary(name), shared.value), regex.compile(pattern)
+        known, found = Known(vocabulary(name), shared.value), splitter(pattern)
         for batch in batches:
-            ids = encode_batch(batch.column(1).to_pylist(), known, compiled)
+            ids = encode_batch(batch.column(1).to_pylist(), known, found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["row_key", "ids"])
 
     return encode

@@ -396,6 +396,25 @@ def test_replay_is_the_plain_rule():
     assert got == [[vocab.ranks[p]] if p in vocab.ranks else bpe.one_by_one(p, vocab.ranks) for p in pieces]
 
 
+def test_pieces_are_the_patterns_and_the_slow_matcher_is_seldom_asked(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    import regex
+
+    rng, slow, asked = random.Random(2), regex.compile(public_tokenizers.PATTERN).findall, []
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    odd = [chr(c) for c in range(0x3000)] + list(" \n\t'\x1c\x85²½Ⅷ٣ª") * 200 + list("'s't're've'm'll'd'S ") * 60
+    plain = [every, *(a + c + c + "b" for c in every for a in ("x", " ")), *("".join(rng.choices(odd, k=rng.randrange(1, 40))) for _ in range(2000))]
+    beyond = ["😀 a", "𝐀𝟙 \U000e0020b", "a  𝐀"]
+    want = collections.Counter(piece for text in [*plain, *beyond] for piece in slow(text))
+    monkeypatch.setattr(bpe.regex, "compile", lambda _: type("Asked", (), {"findall": staticmethod(lambda text: asked.append(text) or slow(text))}))
+    got = collections.Counter()
+    for batch in bpe._pieces(public_tokenizers.PATTERN)(iter([pa.record_batch({"text": pa.array([*plain, None, "", *beyond])})])):
+        got.update(dict(zip(batch["piece"].to_pylist(), batch["n"].to_pylist(), strict=True)))
+    assert got == want
+    assert asked == beyond
+
+
 # 8
 
 
