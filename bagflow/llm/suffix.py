@@ -23,16 +23,20 @@ from pyspark.sql import functions as F
 
 from bagflow.llm.common import chunked, discard, gathered, in_pieces, keyed, lean, mix, own, places_of, prepared, span_hashes, stored, table, utf8
 
-#: Bytes of a string that may not come again, and of the substrings whose hashes compete for its anchor.
-LENGTH, GRAM = 50, 16
+#: Bytes of a string that may not come again, and of the substrings whose hashes compete for its anchor. Substrings of 16 bytes, two
+#: or three words, come again by chance the more often the larger the corpus is, and each such anchor sends its contexts for nothing.
+LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes that a bucket of anchors, or of contexts, stands for: what one step of a task holds follows from it.
 BUCKET_BYTES = 4 << 20
 #: Windows that are put in suffix order at once, about so many at most, but for equal ones.
 SLICE = 200_000
-#: Texts (of those asking after it) from which on an anchor is hot, and hot anchors that every task knows, at most: with more, the
-#: number of texts is raised until they are few enough.
+#: Texts (of those asking after it) from which on an anchor is hot, at least, and hot anchors that every task knows, at most: with
+#: more, the number of texts is raised until they are few enough.
 HOT_TEXTS, HOT_ANCHORS = 1000, 200_000
+#: An anchor in one text of so many is hot: windows dealt one by one take many times the bytes of their context, which only pays
+#: where most of them are settled in their batch. Of a context, its bytes and numbers, a bucket holds BUCKET_BYTES of one anchor at most.
+HOT_SHARE, CONTEXT_BYTES = 250, 128
 
 _P = 0x9E3779B97F4A7C15
 
@@ -42,10 +46,15 @@ def _power(n: int) -> np.uint64:
 
 
 def rolled(body: np.ndarray) -> np.ndarray:
-    """A polynomial hash of every GRAM bytes, by doubling the length hashed."""
-    out, step = body.astype(np.uint64) + np.uint64(1), 1
-    while step < GRAM:
-        out = out[:-step] * _power(step) + out[step:]
+    """A polynomial hash of every GRAM bytes, by doubling the length hashed and joining what GRAM has of such lengths."""
+    part, step, out, upto = body.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while step <= GRAM:
+        if GRAM & step:
+            size = len(body) - upto - step + 1
+            out = part if out is None else out[:size] * _power(step) + part[upto : upto + size]
+            upto += step
+        if 2 * step <= GRAM:
+            part = part[:-step] * _power(step) + part[step:]
         step *= 2
     return out
 
@@ -473,7 +482,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["text_code", "id", "kept", "n_removed", "n_spans"])
 
 
-def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None, hot_texts: int | None = None) -> DataFrame:
     """(code, first_id, spans): what the distinct texts that lose bytes lose, each in its smallest id.
 
     base: text_code, id, text of all documents; first: text_code, a second hash of the text, and its smallest id. Two texts of one
@@ -481,6 +490,8 @@ def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None, hot_
     if buckets is None:
         total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-total // BUCKET_BYTES))
+    if hot_texts is None:
+        hot_texts = hot_limit(first.count())
     asked = base.select("text_code", "text").mapInArrow(lean(_asking(buckets)), ASKED)
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_answer), "text_code bigint, codes bigint")
     shared = stored(answers.groupBy("text_code").agg(F.collect_set("codes").alias("codes")))
@@ -492,6 +503,11 @@ def spans_of(base: DataFrame, first: DataFrame, buckets: int | None = None, hot_
     return spans.groupBy(F.col("text_code").alias("code"), F.col("text_id").alias("first_id")).agg(F.collect_list("spans").alias("spans"))
 
 
+def hot_limit(texts: int) -> int:
+    """From how many texts on an anchor is hot, of so many texts."""
+    return max(HOT_TEXTS, min(texts // HOT_SHARE, BUCKET_BYTES // CONTEXT_BYTES))
+
+
 def hot_codes(shared: DataFrame, hot_texts: int) -> np.ndarray:
     """The anchors that at least hot_texts texts share, ascending; at most HOT_ANCHORS of them, the most frequent."""
     counts = shared.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_texts)
@@ -499,7 +515,7 @@ def hot_codes(shared: DataFrame, hot_texts: int) -> np.ndarray:
     return np.sort(rows["code"].to_numpy())
 
 
-def cut_texts(base: DataFrame, first: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def cut_texts(base: DataFrame, first: DataFrame, hot_texts: int | None = None) -> DataFrame:
     """(text_code, id, kept, n_removed, n_spans) of the distinct texts that lose bytes, in their smallest ids.
 
     In one query with the search, so that the texts, dealt out for that, needn't be dealt out again."""
@@ -520,7 +536,7 @@ def based(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     return base, stored(base.groupBy("text_code", "second").agg(F.min("id").alias("first_id")))
 
 
-def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_texts: int = HOT_TEXTS) -> DataFrame:
+def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_texts: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Equal texts are one: the copies of larger ids lose everything at once if they have LENGTH bytes, and only one of a text's

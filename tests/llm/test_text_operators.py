@@ -257,6 +257,33 @@ def test_suffix_removals_of_random_bytes(spark):
     assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removals(pairs)
 
 
+def test_what_recurs_by_chance_is_not_searched():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    few = ["".join(rng.choices("abdeinorst", k=rng.randrange(4, 8))) for _ in range(30)]
+    texts = [" ".join(rng.choices(few, k=300)).encode() for _ in range(400)]
+    windows = collections.Counter(w for t in texts for w in {t[k : k + suffix.LENGTH] for k in range(len(t) - suffix.LENGTH + 1)})
+    assert max(windows.values()) == 1
+    body, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    all_ = len(set(zip(*(x.tolist() for x in (suffix.anchors(body, bounds)[k] for k in (0, 3))), strict=True)))
+    got = suffix._asking(8)(iter([pa.record_batch({"text_code": pa.array(range(400)), "text": pa.array(texts)})]))
+    shared = sum(len(codes) // 8 for batch in got for codes in batch["codes"].to_pylist() if codes)
+    # with substrings of 16 bytes it was seven in ten
+    assert shared < 0.1 * all_
+
+
+def test_hot_anchors_follow_the_corpus(spark, monkeypatch):
+    limits = []
+    monkeypatch.setattr(suffix, "hot_codes", lambda _, hot_texts, of=suffix.hot_codes: limits.append(hot_texts) or of(_, hot_texts))
+    monkeypatch.setattr(suffix, "HOT_TEXTS", 3)
+    twice = "a passage of more than fifty bytes that stands in four texts of two thousand "
+    docs = spark.createDataFrame([(i, f"{i} {twice * (i % 500 == 0)}{i * i} words of text {i}, number {i + 7}, and so on") for i in range(2000)], "doc_id bigint, text string")
+    suffix.cut_documents(docs).collect()
+    assert limits == [2000 // suffix.HOT_SHARE]
+    assert suffix.hot_limit(1 << 40) * suffix.CONTEXT_BYTES == suffix.BUCKET_BYTES
+
+
 def test_suffix_removals_of_nothing(none):
     assert suffix.cut_documents(none).count() == 0
 
